@@ -1,0 +1 @@
+"""Named queries over the driver tables, with their check queries."""
