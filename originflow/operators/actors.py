@@ -163,3 +163,22 @@ def nearest_hour(meta: DataFrame, values: DataFrame | None = None) -> DataFrame:
     best = F.array_min(F.filter(opts, lambda o: o["match"].isNotNull()))
     return m.join(table, "cutoff").withColumn("_b", best).filter(F.col("_b").isNotNull()).select(
         "cutoff", "actor", "medhour", F.col("_b.match").alias("match"), F.col("_b.gap").alias("gap"))
+
+
+def group_traits(ranked: DataFrame, posts: DataFrame, group: str, min_events: int = 4) -> DataFrame:
+    """The trait inside each value of a group column (time bin, symbol group), with hours from the same group.
+
+    Returns (group, actor, raw_lead, n_events, medhour, oltrait).
+    """
+    raw = ranked.groupBy(group, "actor").agg(F.avg("net_lead").alias("raw_lead"), F.count(F.lit(1)).alias("n_events"))
+    raw = raw.filter(F.col("n_events") >= min_events).withColumnRenamed(group, "cutoff")
+    counts = posts.groupBy(group, "actor", "hour").agg(F.count(F.lit(1)).alias("n"))
+    hours = counts.groupBy(group, "actor").agg(F.percentile("hour", F.lit(0.5), F.col("n")).alias("medhour"))
+    return oltrait(raw, hours.withColumnRenamed(group, "cutoff")).withColumnRenamed("cutoff", group)
+
+
+def hierarchy_statistic(ranked: DataFrame, min_actors: int = 5, min_events: int = 4, keys: list[str] = ["sym"]) -> DataFrame:
+    """sum(S^2 / n) over actors, S the summed net lead: how strong the lead order of a symbol is."""
+    per = ranked.filter(F.col("k") >= min_actors).groupBy(*keys, "actor").agg(
+        F.sum("net_lead").alias("s"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_events)
+    return per.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("statistic"), F.count(F.lit(1)).alias("actors"))
