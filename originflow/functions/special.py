@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Z90 = 1.6448536269514722  # 95 % point of the standard normal
@@ -14,9 +15,14 @@ def norm_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
-def norm_cdf_col(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else norm_cdf(v)).astype("float64")
+def norm_cdf_col(x: Column) -> Column:
+    """The normal CDF of a column, in Arrow batches (Spark SQL has no erf)."""
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda t: None if t is None or t != t else norm_cdf(t)).astype("float64")
+
+    return run(x)
 
 
 def gamma_q(a: float, x: float) -> float:

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from originflow.operators.frames import matrix
 from originflow.operators.metrics import event_metrics, finite, symbol_mean, within_demean
@@ -132,11 +133,17 @@ class Linear:
             s = s + F.lit(float(b)) * (x - F.lit(float(m))) / F.lit(float(d))
         return s
 
+    def raw(self) -> tuple[np.ndarray, float]:
+        """Weights and intercept on imputed, unscaled features."""
+        w = self.beta / self.sd
+        mean = np.array([self.med[f] for f in self.features]) + self.mu
+        return w, float(self.beta0 - w @ mean)
+
     def parameters(self) -> list[tuple]:
         """(feature, coef_std, median, mean, sd, coef_raw) rows, the intercepts first."""
+        raw, intercept = self.raw()
         mean = np.array([self.med[f] for f in self.features]) + self.mu
-        raw = self.beta / self.sd
-        head = ("(intercept)", float(self.beta0), None, None, None, float(self.beta0 - (raw * mean).sum()))
+        head = ("(intercept)", float(self.beta0), None, None, None, intercept)
         return [head] + [(f, float(b), float(self.med[f]), float(m), float(s), float(r))
                          for f, b, m, s, r in zip(self.features, self.beta, mean, self.sd, raw)]
 
@@ -169,10 +176,38 @@ def solve_ridge_gcv(mom: Moments, features: list[str], target: str, alphas: list
     return Linear(features, ybar, beta, {f: mom.med[f] for f in features}, mu, sd), best
 
 
+FEW_MODELS = 6
+
+
 def score_sets(df: DataFrame, models: dict[str, Linear], keep: list[str]) -> DataFrame:
-    """Long (keep..., method, score): one pass over the rows for all models."""
-    cells = F.array(*[F.struct(F.lit(k).alias("method"), m.column().alias("score")) for k, m in models.items()])
-    return df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.method", "c.score")
+    """Long (keep..., method, score) from one pass over the rows for all models.
+
+    A few models are plain column expressions. Many (a penalty grid) would outgrow one generated
+    method, so they go through one matrix product per Arrow batch. Models share their medians.
+    """
+    names = list(models)
+    if len(models) <= FEW_MODELS:
+        cells = F.array(*[F.struct(F.lit(k).alias("method"), m.column().alias("score")) for k, m in models.items()])
+        return df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.method", "c.score")
+    med = {f: v for m in models.values() for f, v in m.med.items()}
+    union = sorted(med)
+    w = np.zeros((len(union), len(names)))
+    c = np.zeros(len(names))
+    for j, m in enumerate(models.values()):
+        w[[union.index(f) for f in m.features], j], c[j] = m.raw()
+    x = F.array(*[F.when(finite(f), F.col(f).cast("double")).otherwise(F.lit(med[f])) for f in union])
+    src = df.select(*keep, x.alias("_x"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("_s", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                s = matrix(pa.chunked_array([b.column(b.num_columns - 1)])) @ w + c
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:-1], pa.array(list(s), pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "_s"])
+
+    long = src.mapInArrow(run, schema).select(*keep, F.posexplode("_s").alias("_i", "score"))
+    return long.select(*keep, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1).alias("method"), "score")
 
 
 PANEL_KEYS = ["event_id", "sym", "frame_j"]
@@ -262,9 +297,7 @@ def score_vector(df: DataFrame, vec: str, weights: dict[str, tuple[np.ndarray, f
     names = [f"{prefix}{k}" for k in weights]
     w = np.stack([b for b, _ in weights.values()], axis=1)
     c = np.array([a for _, a in weights.values()])
-    schema = df.schema
-    for n in names:
-        schema = schema.add(n, "double")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def run(batches):
         for b in batches:

@@ -53,7 +53,7 @@ def pvalue_from_ci(df: DataFrame) -> DataFrame:
     se = (F.col("hi") - F.col("lo")) / (2.0 * Z90)
     d = df.withColumn("se", se).withColumn(
         "z", F.when(F.col("se") > 0, F.col("observed") / F.col("se")).otherwise(F.lit(float("inf"))))
-    d = d.withColumn("_c", norm_cdf_col("z"))
+    d = d.withColumn("_c", norm_cdf_col(F.col("z")))
     return d.withColumn("p_one_sided", 1.0 - F.col("_c")).withColumn(
         "p_two_sided", F.least(F.lit(1.0), 2.0 * F.least("_c", 1.0 - F.col("_c")))).drop("_c")
 

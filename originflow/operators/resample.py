@@ -60,13 +60,13 @@ def bootstrap(
     # strata of one comparison, numbered in name order: a short list (symbols)
     rank = Window.partitionBy(*by).orderBy(stratum)
     every = Window.partitionBy(*by)
-    strata = obs.select(*by, stratum, "n", (F.row_number().over(rank) - 1).alias("s"), F.count(F.lit(1)).over(every).alias("S"))
+    strata = obs.select(*by, stratum, "n", (F.row_number().over(rank) - 1).alias("s_no"), F.count(F.lit(1)).over(every).alias("s_all"))
     src = d.join(strata, [*by, stratum])
     fields = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in by)
 
-    def one_block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("_pos")["delta"].to_numpy()
-        n, s, S, b = int(pdf["n"].iloc[0]), int(pdf["s"].iloc[0]), int(pdf["S"].iloc[0]), int(pdf["_b"].iloc[0])
+        n, s, S, b = int(pdf["n"].iloc[0]), int(pdf["s_no"].iloc[0]), int(pdf["s_all"].iloc[0]), int(pdf["_b"].iloc[0])
         sizes = np.full(-(-n // block), block, dtype=float)
         sizes[-1] = n - block * (len(sizes) - 1)
         part = np.zeros(B)
