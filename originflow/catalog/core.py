@@ -11,7 +11,7 @@ from originflow.catalog.sql import CUTOFFS, END, MIN_ACTORS, NOT_SPACE, SPACE, T
 from originflow.functions import text as tx
 from originflow.operators import actors, events, frames as fr, metrics as mx
 from originflow.sources import stores
-from originflow.sources.posts import bind_posts, table
+from originflow.sources.posts import bind_posts, spread, table
 
 EVENT_COLS = ["sym", "day"]
 
@@ -80,7 +80,7 @@ def stance(spark, sf) -> DataFrame:
 
 @query("clean_text", f"SELECT doc_id, md5({_CLEAN}) AS cleaned, CAST(length({_CLEAN}) AS BIGINT) AS n FROM documents")
 def clean_text(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", tx.clean_text("text").alias("c"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.clean_text("text").alias("c"))
     return d.select("doc_id", F.md5("c").alias("cleaned"), F.length("c").cast("bigint").alias("n"))
 
 
@@ -96,7 +96,8 @@ def _anonymize_sql(col: str) -> str:
 
 @query("anonymize", f"SELECT doc_id, md5({_anonymize_sql('text')}) AS anonymous FROM documents")
 def anonymize(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.anonymize("text")).alias("anonymous"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5(tx.anonymize("text")).alias("anonymous"))
 
 
 def _n(pattern: str, col: str = "text") -> str:
@@ -119,7 +120,8 @@ _KW = ", ".join(
 FROM (SELECT *, ' ' || lower(text) || ' ' AS p FROM documents)""")
 def surface_features(spark, sf) -> DataFrame:
     f = tx.surface_features("text", "source")
-    d = table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in f.items()])
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    d = docs.select("doc_id", *[c.alias(n) for n, c in f.items()])
     return rounded6(d, "log_chars", "log_tokens", "upper_ratio")
 
 

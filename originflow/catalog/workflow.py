@@ -140,7 +140,7 @@ SELECT batch, CAST(id AS BIGINT) AS id, least(100, greatest(0, a)) + 0.0 AS adop
 WHERE id < 10 AND r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch, id ORDER BY i DESC) = 1""")
 def parse_scores(spark, sf) -> DataFrame:
     d = read_scores(_responses(spark, sf), "response", 10)
-    return big(d.select("batch", F.explode("scores").alias("s")).select("batch", "s.*"), "id")
+    return big(d.select("batch", F.inline("scores")), "id")
 
 
 _SEL_SQL = """ss AS (SELECT event_id // 5 AS batch, event_id % 5 AS i, (event_id * 3) % 7 AS id, (event_id * 11) % 41 - 10 AS att FROM events)"""

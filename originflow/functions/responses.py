@@ -15,6 +15,11 @@ def _loose(c: Column) -> Column:
     return F.when(F.try_parse_json(t).isNotNull(), t).when(F.try_parse_json(inner).isNotNull(), inner)
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``, also where the optimizer inlines columns."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -35,13 +40,11 @@ def parse_scores(df: DataFrame, response: str, n_items: Column | int) -> DataFra
         num(x, "$.reach_score", "$[2]").alias("r")))
     inf = F.lit(float("inf"))
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)
-    d = d.withColumn("_n", n).withColumn("_read", F.filter(
-        read, lambda x: x["id"].isNotNull() & (x["id"] >= 0) & (x["id"] < F.col("_n")) & good(x["a"]) & good(x["r"])))
-    last = F.filter("_read", lambda x, i: ~F.exists(
-        F.slice("_read", i + 2, F.size("_read")), lambda z: z["id"] == x["id"]))
-    return d.withColumn("scores", F.transform(last, lambda x: F.struct(
-        x["id"].alias("id"), clip(x["a"]).alias("adoption_score"), clip(x["r"]).alias("reach_score")))).drop(
-        "_v", "_items", "_n", "_read")
+    d = d.withColumn("_n", n)
+    kept = F.filter(read, lambda x: x["id"].isNotNull() & (x["id"] >= 0) & (x["id"] < F.col("_n")) & good(x["a"]) & good(x["r"]))
+    last = lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda z: z["id"] == x["id"]))
+    return d.withColumn("scores", _bind(kept, lambda all_: F.transform(last(all_), lambda x: F.struct(
+        x["id"].alias("id"), clip(x["a"]).alias("adoption_score"), clip(x["r"]).alias("reach_score"))))).drop("_v", "_items", "_n")
 
 
 def parse_selection(df: DataFrame, response: str, candidates: str, r: int) -> DataFrame:
@@ -70,9 +73,8 @@ def parse_selection(df: DataFrame, response: str, candidates: str, r: int) -> Da
         lambda a, b: F.struct(a.cast("int").alias("id"), b.try_cast("double").alias("attention"), F.lit("").alias("reason")))
     d = d.withColumn("_read", F.when(F.col("_v").isNotNull(), read).otherwise(found))
     allowed = F.filter("_read", lambda x: x["id"].isNotNull() & F.array_contains(F.col(candidates), x["id"]))
-    d = d.withColumn("_ok", allowed)
-    first = F.filter("_ok", lambda x, i: ~F.exists(F.slice("_ok", 1, i), lambda z: z["id"] == x["id"]))
-    d = d.withColumn("_pick", F.slice(first, 1, r))
+    first = lambda ok: F.filter(ok, lambda x, i: ~F.exists(F.slice(ok, 1, i), lambda z: z["id"] == x["id"]))
+    d = d.withColumn("_pick", _bind(allowed, lambda ok: F.slice(first(ok), 1, r)))
     enough = F.size("_pick") >= r
     status = (F.when(F.col("_v").isNull(), F.when(enough, "json_recovered").otherwise("json_decode"))
               .when(F.col("_wrong"), "missing_selected").when(~enough, "too_few_selected").otherwise(""))
@@ -87,4 +89,4 @@ def parse_selection(df: DataFrame, response: str, candidates: str, r: int) -> Da
                       .otherwise(F.lit(1.0) / F.size("_pick")))
     return d.withColumn("selected", F.transform("_pick", lambda x: F.struct(
         x["id"].alias("id"), x["attention"].alias("attention"), norm(x).alias("attention_norm"),
-        x["reason"].alias("reason")))).drop("_v", "_items", "_wrong", "_read", "_ok", "_pick", "_tot")
+        x["reason"].alias("reason")))).drop("_v", "_items", "_wrong", "_read", "_pick", "_tot")

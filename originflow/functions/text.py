@@ -53,8 +53,9 @@ def stance(c: Column | str) -> Column:
 
     URLs and @mentions are removed from the lower-cased text first; each word counts once.
     """
-    lowered = F.regexp_replace(F.lower(_text(c)), f"https?://{NOT_SPACE}+|@{WORD}+", " ")
-    # one padded string, counted against both lists
+    lower = F.lower(_text(c))
+    marked = F.contains(lower, F.lit("@")) | F.contains(lower, F.lit("://"))  # most texts skip the pattern
+    lowered = F.when(marked, F.regexp_replace(lower, f"https?://{NOT_SPACE}+|@{WORD}+", " ")).otherwise(lower)
     return F.sign(_hits(lowered, BULL_WORDS) - _hits(lowered, BEAR_WORDS)).cast("int")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from originflow.operators.events import EVENT, early_split, rerank
-from originflow.operators.frames import FRAME, assign_to_seeds, best_match, centroids, memory_window, online_frames, unit
+from originflow.operators.frames import FRAME, assign_to_seeds, best_match, centroids, memory_window, online_frames
 from originflow.session import cut
 
 # The early modes.
@@ -43,7 +43,7 @@ def early_panel(
     enough = seeds.groupBy(*EVENT).agg(F.max("frame_j").alias("_top")).filter("_top >= 1").drop("_top")
     cents = centroids(seeds).join(enough, EVENT, "left_semi")
     later = posts.filter("NOT early").join(enough, EVENT, "left_semi").join(vectors, on).select(
-        *EVENT, "rank", "followers", unit("emb").alias("vec"))
+        *EVENT, "rank", "followers", F.col("emb").alias("vec"))
     labels = cut(assign_to_seeds(later, cents, EVENT, thr))
     used = labels.select(*EVENT).distinct()
     cents = cents.join(used, EVENT, "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from originflow.operators.ordered import BLOCK
 from originflow.sources.posts import HOUR_US
 
 EVENT = ["sym", "day"]
@@ -44,26 +45,39 @@ def rank_posts(fp: DataFrame, min_actors: int = 1, keys: list[str] = EVENT) -> D
     """Add ``k`` (actors of the event), 1-based ``rank``, ``net_lead`` and ``elapsed_hours``.
 
     Ranking is two-level: within a minute by a window, across minutes by prefix counts (at most
-    1,440 per day), so a very large event is spread over many tasks.
+    1,440 per day), so a very large event is spread over many tasks. Many posts with one and the
+    same time stamp (day-resolution data) are cut further by first_seen.
     """
     fp = fp.withColumn("_m", F.floor(F.col("us") / F.lit(MINUTE_US)).cast("long"))
     before = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
-    minutes = fp.groupBy(*keys, "_m").agg(F.count(F.lit(1)).alias("_c"), F.min("us").alias("_u")).select(
-        *keys, "_m",
+    seen = F.col("first_seen").cast("double")
+    minutes = fp.groupBy(*keys, "_m").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("us").alias("_u"), F.max("us").alias("_w"),
+        F.min(seen).alias("_lo"), F.max(seen).alias("_hi"))
+    # a minute whose posts all share one time stamp is cut further, along first_seen
+    pieces = F.when((F.col("_u") == F.col("_w")) & (F.col("_c") > BLOCK), F.ceil(F.col("_c") / BLOCK))
+    minutes = minutes.select(
+        *keys, "_m", "_lo",
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
         F.sum("_c").over(every).alias("k"),
         F.min("_u").over(every).alias("_start"),
+        ((F.col("_hi") - F.col("_lo") + 1.0) / pieces).alias("_width"),
     )
     if min_actors > 1:
         minutes = minutes.filter(F.col("k") >= min_actors)
-    local = Window.partitionBy(*keys, "_m").orderBy("us", "first_seen", "post_id")
+    d = fp.join(minutes, [*keys, "_m"]).withColumn(
+        "_s", F.coalesce(F.floor((seen - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("int"))
+    inside = Window.partitionBy(*keys, "_m").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    flat = d.filter(F.col("_width").isNotNull()).groupBy(*keys, "_m", "_s").agg(F.count(F.lit(1)).alias("_c")).select(
+        *keys, "_m", "_s", F.coalesce(F.sum("_c").over(inside), F.lit(0)).alias("_off"))
+    local = Window.partitionBy(*keys, "_m", "_s").orderBy("us", "first_seen", "post_id")
     return (
-        fp.withColumn("_r", F.row_number().over(local)).join(minutes, [*keys, "_m"])
-        .withColumn("rank", F.col("_before") + F.col("_r"))
+        d.withColumn("_r", F.row_number().over(local)).join(flat, [*keys, "_m", "_s"], "left")
+        .withColumn("rank", F.col("_before") + F.coalesce("_off", F.lit(0)) + F.col("_r"))
         .withColumn("net_lead", F.col("k") + 1 - 2 * F.col("rank"))
         .withColumn("elapsed_hours", (F.col("us") - F.col("_start")) / F.lit(float(HOUR_US)))
-        .drop("_m", "_r", "_before", "_start")
+        .drop("_m", "_r", "_before", "_start", "_lo", "_width", "_s", "_off")
     )
 
 

@@ -132,11 +132,11 @@ def future_labels(frames: DataFrame) -> DataFrame:
 
 
 def best_match(left: DataFrame, right: DataFrame, keys: list[str], lid: str, rid: str,
-               lvec: str = "vec", rvec: str = "vec", block: int = 2048) -> DataFrame:
+               lvec: str = "vec", rvec: str = "vec", block: int = 2048, raw_left: bool = False) -> DataFrame:
     """For each left row the most similar right row of its group: keys, ``lid``, sim, ``rid`` (ties: lowest rid).
 
     Both sides are cut into blocks; a task sees one block of each, so no group is gathered whole.
-    ``lid`` and ``rid`` are dense integers inside a group.
+    ``lid`` and ``rid`` are dense integers inside a group; ``raw_left`` scales left vectors to unit length first.
     """
     l = left.select(*keys, F.col(lid).cast("long").alias("l"), F.col(lvec).alias("lv")).withColumn(
         "lb", block_of(F.col("l"), block))
@@ -157,7 +157,8 @@ def best_match(left: DataFrame, right: DataFrame, keys: list[str], lid: str, rid
             empty = a.slice(0, 0).select([*keys, "l"])
             return empty.append_column("sim", pa.array([], pa.float64())).append_column("r", pa.array([], pa.int64()))
         b = b.sort_by([("r", "ascending")])
-        s = matrix(a.column("lv")) @ matrix(b.column("rv")).T
+        left_m = matrix(a.column("lv"))
+        s = (unit_rows(left_m) if raw_left else left_m) @ matrix(b.column("rv")).T
         j = s.argmax(axis=1)
         ids = b.column("r").to_numpy()
         out = out.append_column("sim", pa.array(s[np.arange(len(j)), j]))
@@ -194,17 +195,18 @@ def memory_window(cents: DataFrame, memory: int = 1000) -> DataFrame:
 def novelty_global(origins: DataFrame, cents: DataFrame, memory: int = 1000) -> DataFrame:
     """1 - highest cosine of an origin's own unit vector to the memory of its event; no row where memory is empty.
 
-    ``origins`` has sym, day, rank and a unit vector ``vec``.
+    ``origins`` has sym, day, rank and the vector ``vec`` of the post, of any length.
     """
-    hit = best_match(origins, memory_window(cents, memory), EVENT, "rank", "m", "vec", "mem")
+    hit = best_match(origins, memory_window(cents, memory), EVENT, "rank", "m", "vec", "mem", raw_left=True)
     return hit.select(*EVENT, "rank", (1.0 - F.col("sim")).alias("novelty_global"))
 
 
 def unit(c) -> "F.Column":
     """v / (|v| + 1e-12) as a column expression."""
     d = F.transform(c, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: x / (norm + F.lit(TINY)))
+    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x)) + F.lit(TINY)
+    # binding the norm as a lambda variable keeps it from being computed again for every element
+    return F.transform(F.array(norm), lambda n: F.transform(d, lambda x: x / n))[0]
 
 
 def dot(a, b) -> "F.Column":
@@ -220,7 +222,7 @@ def mean_pool(members: DataFrame, keys: list[str], vec: str) -> DataFrame:
 
 def assign_to_seeds(later: DataFrame, seeds: DataFrame, keys: list[str], thr: float) -> DataFrame:
     """Each later post goes to its most similar fixed seed when at or above ``thr``: counts and reach per seed."""
-    hit = best_match(later, seeds, keys, "rank", "frame_j", "vec", "centroid").filter(F.col("sim") >= thr)
+    hit = best_match(later, seeds, keys, "rank", "frame_j", "vec", "centroid", raw_left=True).filter(F.col("sim") >= thr)
     own = later.select(*keys, "rank", "followers")
     return hit.join(own, [*keys, "rank"]).groupBy(*keys, F.col("frame_j").cast("int").alias("frame_j")).agg(
         F.count(F.lit(1)).cast("double").alias("future_adopt"),

@@ -87,20 +87,19 @@ def attach_group(
 def with_value_bucket(df: DataFrame, value: str, name: str = "_b", n: int = 64) -> DataFrame:
     """Add a bucket number that is monotone in ``value``; edges are approximate quantiles of the column.
 
-    The edges are one row of ``n - 1`` numbers, read through a scalar subquery. They only balance
-    the work: results that use the buckets are exact whatever the edges are.
+    Odd buckets hold exactly one value (an edge), even ones the values between two edges, so a value
+    with more than 1/n of the rows has a bucket of its own. The edges are one row of ``n - 1``
+    numbers, read through a scalar subquery. They only balance the work: results that use the
+    buckets are exact whatever the edges are.
     """
     probs = [i / n for i in range(1, n)]
-    edges = df.agg(F.percentile_approx(value, probs, 2000)).scalar()
-    below = F.size(F.filter("_edges", lambda e: e <= F.col(value)))
-    return df.withColumn("_edges", edges).withColumn(
-        name, F.when(F.col(value).isNull() | (below < 0), F.lit(0)).otherwise(below)).drop("_edges")
-
-
-def distinct_values(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
-    """One row per distinct value of a group, with its count and sums (ties collapse before any shuffle)."""
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(e).alias(k) for k, e in (sums or {}).items()]
-    return df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(*aggs)
+    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, max(2000, 4 * n))).scalar()
+    v = F.col(value).cast("double")
+    # the place a value takes in the sorted edges: built-in array functions, no lambda per edge
+    place = F.array_position(F.sort_array(F.array_append("_edges", v)), v)
+    bucket = 2 * place + F.array_contains("_edges", v).cast("int")
+    d = df.withColumn("_edges", F.array_distinct(edges))
+    return d.withColumn(name, F.coalesce(bucket, F.lit(0)).cast("int")).drop("_edges")
 
 
 def exact_quantiles(

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from originflow.operators.actors import dense_position
 from originflow.operators.events import EVENT
 from originflow.operators.metrics import corr_rank, finite, mid_ranks
-from originflow.operators.ordered import exact_quantiles, running, with_value_bucket
+from originflow.operators.ordered import with_value_bucket
+from originflow.session import cut
 
 BOOT_BLOCK = 4096
 METRICS = ["ndcg3", "hit1", "mass3", "js"]
@@ -116,18 +117,25 @@ def poisson_weights(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
 
 def bootstrap_auc(
     scores: DataFrame, y: str, row_id: str, methods: str = "method", sym: str = "sym", B: int = 2000, seed: int = 777,
-    reps_per_task: int = 100, buckets: int = 64,
+    reps_per_task: int = 100, task_rows: int = 20_000,
 ) -> DataFrame:
     """Two-level bootstrap of ROC-AUC and PR-AUC for several methods on the same resamples.
 
     ``scores`` is long: (method, sym, row_id, y, score). A row's multiplicity in a replicate is Poisson(1)
     of its id, so all methods see the same resample wherever their rows are sorted. Each score bucket adds
-    its own part; prefix totals join the parts. Returns (method, rep, auc, ap).
+    its own part; prefix totals join the parts. There are as many buckets as ``task_rows`` asks for, and a
+    score shared by very many rows has its own bucket, whose rows are dealt out to several tasks.
+    Returns (method, rep, auc, ap).
     """
     d = scores.filter(finite("score")).select(
         F.col(methods).alias("method"), F.col(sym).alias("sym"), F.col(row_id).cast("long").alias("id"),
         F.col(y).cast("double").alias("y"), F.col("score").cast("double").alias("score"))
-    d = with_value_bucket(d, "score", "_b", buckets).withColumn("_b", -F.col("_b"))
+    n_buckets = max(4, min(1024, -(-d.count() // task_rows)))
+    d = with_value_bucket(d, "score", "_b", n_buckets).withColumn("_b", -F.col("_b"))
+    size = d.groupBy("method", "sym", "_b").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("_p"))
+    single = F.abs(F.col("_b")) % 2 == 1
+    d = d.join(size, ["method", "sym", "_b"]).withColumn(
+        "salt", F.when(single, F.pmod(F.xxhash64("id"), F.col("_p"))).otherwise(0).cast("int")).drop("_p")
     chunks = -(-B // reps_per_task)
     d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
@@ -149,9 +157,10 @@ def bootstrap_auc(
         return pd.DataFrame({"method": head["method"], "sym": head["sym"], "chunk": head["chunk"], "_b": head["_b"],
                              "rep": reps, "pos": pos.sum(0), "cnt": cnt.sum(0)})
 
-    tot = d.groupBy(*keys).applyInPandas(totals, "method string, sym string, chunk int, _b int, rep int, pos double, cnt double")
+    tot = d.groupBy(*keys, "salt").applyInPandas(totals, "method string, sym string, chunk int, _b int, rep int, pos double, cnt double")
+    tot = cut(tot.groupBy(*keys, "rep").agg(F.sum("pos").alias("pos"), F.sum("cnt").alias("cnt")))
     before = Window.partitionBy("method", "sym", "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select("method", "sym", "chunk", "_b", "rep",
+    carry = tot.select("method", "sym", "chunk", "_b", "rep", "pos", "cnt",
                        F.coalesce(F.sum("pos").over(before), F.lit(0.0)).alias("pa"),
                        F.coalesce(F.sum("cnt").over(before), F.lit(0.0)).alias("ca"))
 
@@ -170,9 +179,15 @@ def bootstrap_auc(
         return pd.DataFrame({"method": head["method"], "sym": head["sym"], "rep": reps, "pos": pos.sum(0),
                              "cnt": cnt.sum(0), "worse": worse, "gain": gain})
 
-    carry = carry.select(*[F.col(k).alias(f"{k}_") for k in keys], "rep", "pa", "ca")
-    per = d.groupBy(*keys).cogroup(carry.groupBy(*[f"{k}_" for k in keys])).applyInPandas(
-        parts, "method string, sym string, rep int, pos double, cnt double, worse double, gain double")
+    # one score per bucket: totals are enough
+    upto = F.when(F.col("ca") + F.col("cnt") > 0, F.col("ca") + F.col("cnt"))
+    alone = carry.filter(single).select(
+        "method", "sym", "rep", "pos", "cnt",
+        (F.col("pos") * (F.col("ca") - F.col("pa") + 0.5 * (F.col("cnt") - F.col("pos")))).alias("worse"),
+        F.coalesce(F.col("pos") * (F.col("pa") + F.col("pos")) / upto, F.lit(0.0)).alias("gain"))
+    carry = carry.filter(~single).select(*[F.col(k).alias(f"{k}_") for k in keys], "rep", "pa", "ca")
+    per = d.filter(~single).groupBy(*keys).cogroup(carry.groupBy(*[f"{k}_" for k in keys])).applyInPandas(
+        parts, "method string, sym string, rep int, pos double, cnt double, worse double, gain double").unionByName(alone)
     per = per.groupBy("method", "sym", "rep").agg(*[F.sum(c).alias(c) for c in ("pos", "cnt", "worse", "gain")])
     neg = F.col("cnt") - F.col("pos")
     per = per.filter((F.col("pos") > 0) & (neg > 0)).select(

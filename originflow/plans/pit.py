@@ -62,7 +62,7 @@ def novelty(state: PitState, vectors: DataFrame, vec_on: list[str], start: str |
     o = f.filter("is_new")
     if max_rank is not None:
         o = o.filter(F.col("rank") <= max_rank)
-    o = o.select(*EVENT, "rank", *vec_on).join(vectors, vec_on).select(*EVENT, "rank", fr.unit("emb").alias("vec"))
+    o = o.select(*EVENT, "rank", *vec_on).join(vectors, vec_on).select(*EVENT, "rank", F.col("emb").alias("vec"))
     return fr.novelty_global(o, fr.centroids(f), memory)
 
 

@@ -69,7 +69,8 @@ def read_posts(spark: SparkSession, path: str, with_text: bool = True) -> DataFr
     number = F.regexp_extract("author_followers", r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", 0)
     cols = [
         F.col("sym"), F.col("kol_username").alias("actor"), us.alias("us"), day_of(us).alias("day"),
-        hour_of(us).alias("hour"), F.xxhash64("sym", "tweet_id", "created_at", "kol_username").alias("post_id"),
+        hour_of(us).alias("hour"), 
+        F.coalesce(F.col("tweet_id").try_cast("bigint"), F.xxhash64("sym", "created_at", "kol_username", "text")).alias("post_id"),
         F.when(F.length(number) > 0, number.cast("double")).otherwise(F.lit(0.0)).alias("followers"),
         F.when(F.lower("author_verified").isin("true", "1"), 1.0).otherwise(0.0).alias("verified"),
         stance(F.col("text")).alias("stance"), F.col("tweet_type"), F.col("lang"), F.col("cashtags"),
@@ -122,9 +123,19 @@ def bind_posts(
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row when the input has fewer splits than cores.
+
+    Large inputs have more splits than cores and are left alone, so they are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bind_stances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stance once per document, over its whole text."""
-    return table(spark, sf_dir, "documents").select("doc_id", stance(F.col("text")).alias("stance"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", stance(F.col("text")).alias("stance"))
 
 
 def bind_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

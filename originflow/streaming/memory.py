@@ -111,7 +111,7 @@ def memory_stream(posts: DataFrame, thr: float, watermark: str = "1 hour") -> Da
     names = [c.split()[0] for c in OUTPUT.split(", ")]
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ev = pickle.loads(state.get[0]) if state.exists else EventState()
+        ev = EventState(**pickle.loads(state.get[0])) if state.exists else EventState()
         mark = state.getCurrentWatermarkMs() * 1000
         rows: list[dict] = []
         if state.hasTimedOut:
@@ -126,7 +126,7 @@ def memory_stream(posts: DataFrame, thr: float, watermark: str = "1 hour") -> Da
                         ev.waiting.append(w)
             if mark > 0:
                 rows = ev.release(mark, thr)
-            state.update((pickle.dumps(ev),))
+            state.update((pickle.dumps(vars(ev)),))
             end_ms = ((key[1] - pd.Timestamp("1970-01-01").date()).days + 1) * (DAY_US // 1000)
             state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
         if rows:

@@ -131,13 +131,15 @@ def test_pooled_bootstrap_in_blocks(spark):
         assert r["observed"] == pytest.approx(v.mean()) and r["se"] == pytest.approx(v.std() / 10, rel=0.12)
 
 
-def test_auc_bootstrap_equals_weighted_auc(spark):
+@pytest.mark.parametrize("size", [20_000, 4])
+def test_auc_bootstrap_equals_weighted_auc(spark, size):
+    """The small size gives many buckets and splits the rows of a shared score over tasks."""
     g = np.random.default_rng(2)
     n = 80
     y, s1, s2 = (g.random(n) < 0.3).astype(float), g.integers(0, 12, n).astype(float), g.normal(size=n)
     rows = [(m, "s0", i, float(y[i]), float(s[i])) for m, s in (("a", s1), ("b", s2)) for i in range(n)]
     df = spark.createDataFrame(rows, "method string, sym string, row_id long, y double, score double")
-    got = {(r["method"], r["rep"]): r for r in resample.bootstrap_auc(df, "y", "row_id", B=7, seed=5, reps_per_task=3).collect()}
+    got = {(r["method"], r["rep"]): r for r in resample.bootstrap_auc(df, "y", "row_id", B=7, seed=5, reps_per_task=3, task_rows=size).collect()}
     w = resample.poisson_weights(np.arange(n), np.arange(7), 5)
     for m, s in (("a", s1), ("b", s2)):
         for rep in range(7):
