@@ -284,7 +284,7 @@ def origin_history(spark, sf) -> DataFrame:
 def novelty_global(spark, sf) -> DataFrame:
     from originflow.plans import pit
     s = Shared.of(spark, sf)
-    return rounded6(pit.novelty(s.state, s.vectors, ["vec_id"], CUTOFFS[0], 10), "novelty_global")
+    return rounded6(pit.novelty(s.state, CUTOFFS[0], 10), "novelty_global")
 
 
 @query("frame_mean_pool", compose(f"""SELECT sym, day, CAST(frame_j AS BIGINT) AS frame_j, {r6('m[1] / (sqrt(list_dot_product(m, m)) + 1e-12)', 'p_first')},

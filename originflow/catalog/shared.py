@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from originflow.catalog.sql import CUTOFFS, END, INNER, MIN_ACTORS, THR
-from originflow.operators.events import first_posts, rank_posts
 from originflow.operators.panel import Block
 from originflow.plans import pit
 from originflow.session import cut
 from originflow.sources.posts import bind_posts, bind_stances, bind_vectors, table, with_vec_id
 
 BLOCKS = [Block("train", CUTOFFS[0], CUTOFFS[1], CUTOFFS[0], "train"), Block("test", CUTOFFS[1], END, CUTOFFS[1], "test")]
-TRAIN: Column
 
 
 def is_train() -> Column:
@@ -64,17 +62,15 @@ class Shared:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        if "state" in self.__dict__:
-            return self.state.ranked
-        return cut(rank_posts(first_posts(self.posts, carry=("hour", "followers", "verified", "doc_id", "vec_id")), MIN_ACTORS))
+        return self.state.ranked
 
     @cached_property
     def state(self) -> pit.PitState:
-        return pit.build_state(self.posts, self.vectors, ["vec_id"], CUTOFFS, THR, MIN_ACTORS)
+        return pit.PitState(self.posts, self.vectors, ["vec_id"], CUTOFFS, THR, MIN_ACTORS)
 
     @cached_property
     def panel(self) -> DataFrame:
-        return pit.build_panel(self.state, self.vectors, ["vec_id"], BLOCKS, self.stances)
+        return pit.build_panel(self.state, BLOCKS, self.stances)
 
 
 def rounded6(df: DataFrame, *cols: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from originflow.operators.events import EVENT, cutoff_index, spread_cutoffs
 from originflow.operators.ordered import exact_quantiles
+from originflow.session import cut
 
 
 def metadata(posts: DataFrame, cutoffs: list[str]) -> DataFrame:
@@ -16,7 +17,7 @@ def metadata(posts: DataFrame, cutoffs: list[str]) -> DataFrame:
     """
     base = posts.groupBy("actor", cutoff_index("day", cutoffs).alias("_ci"), "hour", "followers").agg(
         F.count(F.lit(1)).alias("n"), F.max("verified").alias("verified"))
-    spread = spread_cutoffs(base, cutoffs)
+    spread = cut(spread_cutoffs(base, cutoffs))  # read several times below; the posts are scanned once
     hours = spread.groupBy("cutoff", "actor").agg(
         F.percentile("hour", F.lit(0.5), F.col("n")).alias("medhour"),  # at most 24 distinct values
         F.max("verified").alias("verified"), F.sum("n").alias("n_posts"))

@@ -340,8 +340,8 @@ def residual_plugin(
         *PANEL_KEYS, target, "c.*")
     got = symbol_mean(event_metrics(long, target, "score", ["a", "event_id", "sym"], ks=(3,)), ["ndcg3"], ["a"]).collect()
     base_alpha = max(((r["ndcg3"], alphas[r["a"]]) for r in got), default=(0.0, alphas[-1]))[1]
-    with_base = score_vector(df, vec, {"base": inner.weights(base_alpha)}, prefix="_").withColumn(
-        "_resid", F.col(target) - F.col("_base"))
+    with_base = cut(score_vector(df, vec, {"base": inner.weights(base_alpha)}, prefix="_").drop(vec).withColumn(
+        "_resid", F.col(target) - F.col("_base")))
     mom = moments(with_base, features, ["_resid"], fit)
     cells = []
     for i, a in enumerate(alphas):
@@ -355,8 +355,8 @@ def residual_plugin(
                       ["ndcg3"], ["a", "l"]).collect()
     _, alpha, lam = max((r["ndcg3"], alphas[r["a"]], lambdas[r["l"]]) for r in got)
     outer = fit_vector_ridge(df, vec, target, refit)
-    final = score_vector(df, vec, {"base": outer.weights(base_alpha)}, prefix="_").withColumn(
-        "_resid", F.col(target) - F.col("_base"))
+    final = cut(score_vector(df, vec, {"base": outer.weights(base_alpha)}, prefix="_").drop(vec).withColumn(
+        "_resid", F.col(target) - F.col("_base")))
     comp = solve_ridge(moments(final, features, ["_resid"], refit), features, "_resid", alpha, "loose")
     out = final.withColumn("base_score", F.col("_base")).withColumn(
         "score", F.col("_base") + F.lit(lam) * comp.column()).drop("_base", "_resid")

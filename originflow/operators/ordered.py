@@ -122,23 +122,21 @@ def exact_quantiles(
         F.sum("_bn").over(every).alias("_total"),
     )
 
-    def spot(q: float) -> tuple[Column, Column]:
-        pos = F.lit(float(q)) * (F.col("_total") - 1)
-        return F.floor(pos), F.ceil(pos)
-
-    wanted = F.lit(False)
-    for q in qs.values():
-        for p in spot(q):
-            wanted = wanted | ((p >= F.col("_before")) & (p < F.col("_before") + F.col("_bn")))
+    # each quantile asks for one or two positions; only buckets and rows that hold one are looked at
+    total = F.col("_total") - 1
+    asked = F.transform(F.array(*[F.lit(float(q)) for q in qs.values()]), lambda q, i: F.struct(
+        i.alias("i"), F.floor(q * total).alias("lo"), F.ceil(q * total).alias("hi"), (q * total - F.floor(q * total)).alias("f")))
+    heads = heads.withColumn("_asked", F.filter(asked, lambda p: (
+        (p["lo"] < F.col("_before") + F.col("_bn")) & (p["hi"] >= F.col("_before"))))).filter(F.size("_asked") > 0)
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    hit = vals.join(heads.filter(wanted), [*keys, "_b"]).withColumn(
-        "_cum", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    )
-    aggs = []
-    for name, q in qs.items():
-        lo, hi = spot(q)
-        at = lambda p: F.max(F.when((F.col("_cum") <= p) & (p < F.col("_cum") + F.col("n")), F.col("_v")))
-        frac = F.max(F.lit(float(q)) * (F.col("_total") - 1) - lo)
-        aggs.append((at(lo) + (at(hi) - at(lo)) * frac).alias(name))
-    aggs.append(F.max("_total").alias("n"))
-    return hit.groupBy(*keys).agg(*aggs)
+    hit = vals.join(heads.drop("_bn"), [*keys, "_b"]).withColumn(
+        "_cum", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    end = F.col("_cum") + F.col("n")
+    hit = hit.select(*keys, "_v", "n", "_cum", "_total", F.explode(F.filter("_asked", lambda p: (
+        (p["lo"] < end) & (p["hi"] >= F.col("_cum"))))).alias("p"))
+    at = lambda p: F.max(F.when((F.col("_cum") <= p) & (p < end), F.col("_v")))
+    per = hit.groupBy(*keys, "p.i").agg(
+        at(F.col("p.lo")).alias("_vl"), at(F.col("p.hi")).alias("_vh"), F.max("p.f").alias("_f"), F.max("_total").alias("_t"))
+    value_at = F.col("_vl") + (F.col("_vh") - F.col("_vl")) * F.col("_f")
+    return per.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("i") == i, value_at)).alias(name) for i, name in enumerate(qs)], F.max("_t").alias("n"))

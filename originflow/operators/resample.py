@@ -127,9 +127,9 @@ def bootstrap_auc(
     score shared by very many rows has its own bucket, whose rows are dealt out to several tasks.
     Returns (method, rep, auc, ap).
     """
-    d = scores.filter(finite("score")).select(
+    d = cut(scores.filter(finite("score")).select(
         F.col(methods).alias("method"), F.col(sym).alias("sym"), F.col(row_id).cast("long").alias("id"),
-        F.col(y).cast("double").alias("y"), F.col("score").cast("double").alias("score"))
+        F.col(y).cast("double").alias("y"), F.col("score").cast("double").alias("score")))
     n_buckets = max(4, min(1024, -(-d.count() // task_rows)))
     d = with_value_bucket(d, "score", "_b", n_buckets).withColumn("_b", -F.col("_b"))
     size = d.groupBy("method", "sym", "_b").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("_p"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,46 +16,63 @@ from originflow.session import cut
 
 @dataclass
 class PitState:
-    """Tables shared by the steps of one run. ``frames`` is written once; state tables are small per actor."""
+    """Tables shared by the steps of one run, each built and written when first asked for.
 
-    cutoffs: list[str]
-    posts: DataFrame
-    ranked: DataFrame
-    frames: DataFrame
-    labels: DataFrame
-    meta: DataFrame
-    raw: DataFrame
-    trait: DataFrame
-    hist: DataFrame
-    shuffled: DataFrame
-    degree: DataFrame
-
-
-def build_state(
-    posts: DataFrame, vectors: DataFrame, vec_on: list[str], cutoffs: list[str], thr: float = 0.5,
-    min_actors: int = 8, trait_actors: int = 5, trait_events: int = 4, seed: int = 61,
-) -> PitState:
-    """Rank every event once, walk its frames once, and aggregate actor state for all cutoffs.
-
-    An event's frames do not depend on the cutoff, so the walk is shared by all cutoffs.
+    Every event is ranked once and its frames are walked once: an event's frames do not depend on the
+    cutoff, so all cutoffs share them. Actor state is aggregated for all cutoffs together.
     """
-    carry = tuple(c for c in posts.columns if c not in (*EVENT, "actor", "us", "post_id"))
-    ranked = cut(rank_posts(first_posts(posts, carry=carry), min(min_actors, trait_actors)))
-    gated = ranked.filter(F.col("k") >= min_actors)
-    frames = cut(fr.online_frames(gated.join(vectors, vec_on), thr))
-    labels = cut(fr.future_labels(frames))
-    meta = cut(actors.metadata(posts, cutoffs))
-    raw = actors.raw_lead(ranked, cutoffs, trait_actors, trait_events)
-    trait = cut(actors.oltrait(raw, meta))
-    opened = frames.filter("is_new").select(*fr.FRAME, "actor").join(labels, fr.FRAME)
-    hist = cut(actors.origin_history(opened, cutoffs))
-    shuffled = actors.shuffle_control(trait.select("cutoff", "actor", "oltrait"), "actor", ["oltrait"], seed)
-    degree = actors.lead_degree(ranked, cutoffs, trait_actors)
-    return PitState(cutoffs, posts, ranked, frames, labels, meta, raw, trait, hist, shuffled, degree)
-
-
-def novelty(state: PitState, vectors: DataFrame, vec_on: list[str], start: str | None = None,
-            max_rank: int | None = None, memory: int = 1000) -> DataFrame:
+
+    posts: DataFrame
+    vectors: DataFrame
+    vec_on: list[str]
+    cutoffs: list[str]
+    thr: float = 0.5
+    min_actors: int = 8
+    trait_actors: int = 5
+    trait_events: int = 4
+    seed: int = 61
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        carry = tuple(c for c in self.posts.columns if c not in (*EVENT, "actor", "us", "post_id"))
+        return cut(rank_posts(first_posts(self.posts, carry=carry), min(self.min_actors, self.trait_actors)))
+
+    @cached_property
+    def frames(self) -> DataFrame:
+        gated = self.ranked.filter(F.col("k") >= self.min_actors)
+        return cut(fr.online_frames(gated.join(self.vectors, self.vec_on), self.thr))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return cut(fr.future_labels(self.frames))
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        return cut(actors.metadata(self.posts, self.cutoffs))
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return actors.raw_lead(self.ranked, self.cutoffs, self.trait_actors, self.trait_events)
+
+    @cached_property
+    def trait(self) -> DataFrame:
+        return cut(actors.oltrait(self.raw, self.meta))
+
+    @cached_property
+    def hist(self) -> DataFrame:
+        opened = self.frames.filter("is_new").select(*fr.FRAME, "actor").join(self.labels, fr.FRAME)
+        return cut(actors.origin_history(opened, self.cutoffs))
+
+    @cached_property
+    def shuffled(self) -> DataFrame:
+        return actors.shuffle_control(self.trait.select("cutoff", "actor", "oltrait"), "actor", ["oltrait"], self.seed)
+
+    @cached_property
+    def degree(self) -> DataFrame:
+        return actors.lead_degree(self.ranked, self.cutoffs, self.trait_actors)
+
+
+def novelty(state: PitState, start: str | None = None, max_rank: int | None = None, memory: int = 1000) -> DataFrame:
     """Global novelty of new frames. Memory starts at ``start`` and holds every frame of qualifying events."""
     f = state.frames
     if start:
@@ -62,15 +80,15 @@ def novelty(state: PitState, vectors: DataFrame, vec_on: list[str], start: str |
     o = f.filter("is_new")
     if max_rank is not None:
         o = o.filter(F.col("rank") <= max_rank)
-    o = o.select(*EVENT, "rank", *vec_on).join(vectors, vec_on).select(*EVENT, "rank", F.col("emb").alias("vec"))
+    o = o.select(*EVENT, "rank", *state.vec_on).join(state.vectors, state.vec_on).select(*EVENT, "rank", F.col("emb").alias("vec"))
     return fr.novelty_global(o, fr.centroids(f), memory)
 
 
 def build_panel(
-    state: PitState, vectors: DataFrame, vec_on: list[str], blocks: list[Block], stances: DataFrame | None = None,
+    state: PitState, blocks: list[Block], stances: DataFrame | None = None,
     stance_key: str = "doc_id", max_rank: int | None = 10, memory: int = 1000,
 ) -> DataFrame:
     start = min(b.start for b in blocks)
-    nov = novelty(state, vectors, vec_on, start, max_rank, memory)
+    nov = novelty(state, start, max_rank, memory)
     return cut(origin_panel(state.frames, state.labels, nov, blocks, state.trait, state.meta, state.hist,
                             state.shuffled, stances, stance_key, max_rank))
