@@ -164,8 +164,9 @@ def spearman_by_symbol(spark, sf) -> DataFrame:
     return rounded6(mx.corr_rank(Shared.of(spark, sf).panel, "origin_ol", "future_adopt", ["sym"]), "rho")
 
 
-_TQ = """tq AS (SELECT p.*, CAST(CASE WHEN future_reach >= c.q THEN 1 ELSE 0 END AS INTEGER) AS label FROM (SELECT * FROM panel WHERE split = 'test') p
- JOIN (SELECT sym, quantile_cont(future_reach, 0.9) AS q FROM panel WHERE split = 'test' GROUP BY sym HAVING count(*) >= 30) c USING (sym))"""
+# small groups and groups of one class are skipped, as the operator states
+_TQ = """tq AS (SELECT * FROM (SELECT p.*, CAST(CASE WHEN future_reach >= c.q THEN 1 ELSE 0 END AS INTEGER) AS label FROM (SELECT * FROM panel WHERE split = 'test') p
+ JOIN (SELECT sym, quantile_cont(future_reach, 0.9) AS q FROM panel WHERE split = 'test' GROUP BY sym HAVING count(*) >= 30) c USING (sym)) QUALIFY min(label) OVER (PARTITION BY sym) < max(label) OVER (PARTITION BY sym))"""
 PIECES["tq"] = (["panel"], _TQ)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from originflow.operators.ordered import attach_group, block_of, exact_quantiles, running, with_value_bucket
+from originflow.operators.ordered import attach_group, exact_quantiles, running, with_value_bucket
 
 TINY = 1e-12
 INF = float("inf")
@@ -81,7 +81,10 @@ def event_metrics(
 def event_distribution(
     df: DataFrame, y: str, score: str, keys: list[str] = ["event_id", "sym"], tie: str = "frame_j"
 ) -> DataFrame:
-    """Per event: Spearman (mid-ranks), Pearson between outcome share and softmax, js, mass of the top three."""
+    """Per event: Spearman (mid-ranks), Pearson between outcome share and softmax, js, mass of the top three.
+
+    Groups are candidate lists limited to the first ranks.
+    """
     rows = df.filter(finite(y) & finite(score)).select(
         *keys, F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("s"), F.col(tie).alias("t"))
     w = Window.partitionBy(*keys)
@@ -165,7 +168,7 @@ def at_p(df: DataFrame, y: str, score: str, tie: list[str], keys: list[str] = []
     d = d.withColumn("_y", F.col(y).cast("double"))
     size = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").cast("long").alias("n_pos"))
     if keys:
-        d = d.join(F.broadcast(size) if not keys else size, keys)
+        d = d.join(size, keys)
     else:
         d = d.withColumn("n", size.select("n").scalar()).withColumn("n_pos", size.select("n_pos").scalar())
     hit = lambda k: F.avg(F.when(F.col("pos") <= k, F.col("_y")))
@@ -178,8 +181,8 @@ def at_p(df: DataFrame, y: str, score: str, tie: list[str], keys: list[str] = []
 
 def quantile_label(df: DataFrame, y: str, train: Column, q: float = 0.9, name: str = "label") -> DataFrame:
     """1 where y reaches the training quantile."""
-    cut = exact_quantiles(df.filter(train), [], y, {"q": q}).select("q").scalar()
-    return df.withColumn("_q", cut).withColumn(name, (F.col(y) >= F.col("_q")).cast("int")).drop("_q")
+    limit = exact_quantiles(df.filter(train), [], y, {"q": q}).select("q").scalar()
+    return df.withColumn("_q", limit).withColumn(name, (F.col(y) >= F.col("_q")).cast("int")).drop("_q")
 
 
 def quantile_grade(df: DataFrame, y: str, train: Column | None = None, n: int = 32, name: str = "grade") -> DataFrame:

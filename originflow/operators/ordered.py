@@ -23,13 +23,6 @@ def block_of(ordinal: Column | str, size: int = BLOCK) -> Column:
     return F.floor(c / F.lit(size)).cast("int")
 
 
-def _null_safe(keys_left: DataFrame, keys_right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & keys_left[k].eqNullSafe(keys_right[k])
-    return cond
-
-
 def running(
     df: DataFrame,
     keys: list[str],

@@ -53,6 +53,20 @@ def test_range_filter_reaches_the_scan(spark, sf):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
 
 
+def test_session_zone_does_not_matter(spark, sf):
+    rows = lambda: src.bind_posts(spark, sf).select("post_id", "us", "day", "hour").orderBy("post_id").collect()
+    utc = rows()
+    raw = {r[0]: r[1] for r in src.table(spark, sf, "events").select("event_id", F.col("ts").cast("string")).collect()}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert rows() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for r in utc:
+        t = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=r["us"])
+        assert t == dt.datetime.fromisoformat(raw[r["post_id"]]) and (t.date(), t.hour) == (r["day"], r["hour"])
+
+
 def test_ranks_ties_and_invariants(spark):
     rows = [("s", "b", US0, 5, 1.0, 0.0), ("s", "a", US0, 3, 1.0, 0.0), ("s", "c", US0 + 5, 1, 1.0, 0.0), ("s", "b", US0 + 9, 2, 1.0, 0.0), ("t", "z", US0, 9, 1.0, 0.0)]
     got = {(r["sym"], r["actor"]): r for r in ev.rank_posts(ev.first_posts(post_table(spark, rows))).collect()}
