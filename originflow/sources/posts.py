@@ -41,8 +41,8 @@ def micros(ts: Column, ntz: bool) -> Column:
     """Epoch microseconds, independent of the session time zone."""
     if ntz:  # field by field: a difference of zone-less times would go through the session zone
         seconds = F.extract(F.lit("SECOND"), ts)
-        return (F.unix_date(ts.cast("date")).cast("bigint") * DAY_US + F.hour(ts) * HOUR_US
-                + F.minute(ts) * (HOUR_US // 60) + (seconds * 1_000_000).cast("bigint"))
+        return (F.unix_date(ts.cast("date")).cast("bigint") * DAY_US + F.hour(ts).cast("bigint") * HOUR_US
+                + F.minute(ts).cast("bigint") * (HOUR_US // 60) + (seconds * 1_000_000).cast("bigint"))
     return F.unix_micros(ts)
 
 
