@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from originflow.llm import line_dedup
+import public_tokenizers
+from originflow.llm import line_dedup, packing
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -23,3 +24,8 @@ def query(name: str, sql: str | None = None):
 def op5_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_packing")
+def op8_packing(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
