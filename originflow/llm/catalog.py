@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from originflow.llm import line_dedup, packing
+from originflow.llm import line_dedup, packing, simhash
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -29,3 +29,8 @@ def op5_line_dedup(spark, sf_dir):
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+@query("op3_simhash")
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))

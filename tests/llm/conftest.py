@@ -1,0 +1,22 @@
+import os
+import sys
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = (SparkSession.builder.master("local[8]").appName("corpus-tests")
+         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    s.sparkContext.setLogLevel("ERROR")
+    yield s
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
