@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from originflow.llm import line_dedup, packing, simhash
+from originflow.llm import html_text, line_dedup, packing, simhash
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -34,3 +34,8 @@ def op8_packing(spark, sf_dir):
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark, sf_dir):
+    return html_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
