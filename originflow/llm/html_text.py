@@ -128,6 +128,8 @@ def main_text(html: str | None) -> str:
     """The blocks of the content regions, joined by an empty line."""
     parser = PageLines()
     parser.feed(html or "")
+    if re.match(r"<[a-zA-Z/!?]", parser.rawdata):  # a tag or comment that the page's end cuts off is no text
+        parser.rawdata = ""
     parser.close()
     parser._flush()
     lines = parser.lines
