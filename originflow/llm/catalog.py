@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from originflow.llm import html_text, line_dedup, packing, simhash
+from originflow.llm import html_text, line_dedup, packing, simhash, toxicity
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -39,3 +39,10 @@ def op3_simhash(spark, sf_dir):
 @query("op7_html_extraction")
 def op7_html_extraction(spark, sf_dir):
     return html_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
