@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from originflow.llm import html_text, line_dedup, packing, simhash, toxicity
+from originflow.llm import html_text, line_dedup, packing, quality, simhash, toxicity
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -46,3 +46,10 @@ def op4_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op1_quality")
+def op1_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
