@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from originflow.llm import html_text, line_dedup, packing, quality, simhash, toxicity
+from originflow.llm import html_text, line_dedup, mih, packing, quality, rp_forest, simhash, toxicity
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -53,3 +53,13 @@ def op1_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op2_embedding_dedup", rp_forest.ORACLE_SQL)
+def op2_embedding_dedup(spark, sf_dir):
+    return rp_forest.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_nearest_neighbours", mih.ORACLE_SQL)
+def op6_nearest_neighbours(spark, sf_dir):
+    return mih.search(read_table(spark, sf_dir, "embeddings"))

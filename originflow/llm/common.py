@@ -43,14 +43,21 @@ def crc_of(value) -> int:
 def split_hot(df: DataFrame, keys: list[str], row_hash: Column, block: int) -> DataFrame:
     """Deal the rows of each key into blocks of about ``block`` rows and give each pair of blocks a group of its own.
 
-    Adds ``pair_a`` and ``pair_b``. Two rows of a key meet in at least one group, and no group holds more than about two
-    blocks. Keys with at most ``block`` rows (nearly all) keep one group and one copy of each row.
+    Adds ``pair_a`` and ``pair_b``, and ``own_block``, the row's own. Two rows of a key meet in at least one group (rows of
+    different blocks in exactly one), and no group holds more than about two blocks. Keys with at most ``block`` rows (nearly
+    all) keep one group and one copy of each row.
     """
     n_blocks = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > block) \
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_rows") / block).cast("int").alias("_blocks"))
     on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
     dealt = df.join(n_blocks, on, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))) \
-        .withColumn("_own", F.pmod(row_hash, F.col("_blocks")).cast("int")) \
+        .withColumn("own_block", F.pmod(row_hash, F.col("_blocks")).cast("int")) \
         .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
-    return dealt.withColumns({"pair_a": F.least("_own", "_other"), "pair_b": F.greatest("_own", "_other")}) \
-        .drop("_blocks", "_own", "_other", *[f"_k_{k}" for k in keys])
+    return dealt.withColumns({"pair_a": F.least("own_block", "_other"), "pair_b": F.greatest("own_block", "_other")}) \
+        .drop("_blocks", "_other", *[f"_k_{k}" for k in keys])
+
+
+def usable_vector(col: str) -> Column:
+    """Neither null nor zero, and all components finite."""
+    return F.expr(f"`{col}` is not null and not exists(`{col}`, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+                  f" and aggregate(`{col}`, 0D, (s, x) -> s + cast(x as double) * cast(x as double)) > 0")
