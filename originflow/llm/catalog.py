@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from originflow.llm import html_text, line_dedup, mih, packing, quality, rp_forest, simhash, toxicity
+from originflow.llm import html_text, line_dedup, masked_lm, mih, packing, quality, rp_forest, simhash, toxicity, unigram
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -63,3 +63,15 @@ def op2_embedding_dedup(spark, sf_dir):
 @query("op6_nearest_neighbours", mih.ORACLE_SQL)
 def op6_nearest_neighbours(spark, sf_dir):
     return mih.search(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, sf_dir):
+    out = unigram.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+    return out.select("doc_id", "n_ids", "n_bytes", "ids_crc32", "round_trip")
+
+
+@query("op10_masked_lm")
+def op10_masked_lm(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs)).select("doc_id", "n_words", "pseudo_loglik", "mean_loglik")
