@@ -34,7 +34,7 @@ def posts_in_range(spark, sf) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_distinct("actor").alias("actors"))
 
 
-_CLEAN = f"substring(trim(regexp_replace(regexp_replace(text, {q(f'https?://{NOT_SPACE}+')}, '', 'g'), {q(SPACE + '+')}, ' ', 'g')), 1, 1000)"
+_CLEAN = f"trim(regexp_replace(regexp_replace(text, {q(f'https?://{NOT_SPACE}+')}, '', 'g'), {q(SPACE + '+')}, ' ', 'g'))"
 
 
 @query("vector_lookup", f"""WITH d AS (SELECT doc_id, {_CLEAN} AS key FROM documents),
@@ -91,7 +91,7 @@ def _anonymize_sql(col: str) -> str:
     for words in (tx.TICKERS, tx.COMPANY_NAMES):
         pattern = r"\b(?:" + "|".join(words) + r")\b"
         e = f"regexp_replace({e}, {q(pattern)}, '<ASSET>', 'gi')"
-    return f"substring(trim(regexp_replace({e}, {q(SPACE + '+')}, ' ', 'g')), 1, 500)"
+    return f"trim(regexp_replace({e}, {q(SPACE + '+')}, ' ', 'g'))"
 
 
 @query("anonymize", f"SELECT doc_id, md5({_anonymize_sql('text')}) AS anonymous FROM documents")

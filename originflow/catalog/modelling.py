@@ -269,12 +269,12 @@ def _deltas(spark, sf) -> DataFrame:
 
 @query("bootstrap_symbols")
 def bootstrap_symbols(spark, sf) -> DataFrame:
-    return resample.bootstrap(_deltas(spark, sf), ["comparison", "metric"], B=200, levels=2)
+    return resample.bootstrap(_deltas(spark, sf), ["comparison", "metric"], B=600, levels=2)
 
 
 @query("bootstrap_pooled")
 def bootstrap_pooled(spark, sf) -> DataFrame:
-    return resample.bootstrap(_deltas(spark, sf), ["comparison", "metric"], B=200, levels=1)
+    return resample.bootstrap(_deltas(spark, sf), ["comparison", "metric"], B=600, levels=1)
 
 
 _DELTA_SQL = "dl AS (" + " UNION ALL ".join(
@@ -286,7 +286,7 @@ _DELTA_SQL = "dl AS (" + " UNION ALL ".join(
  SELECT comparison, metric, sym, avg(delta) AS m, count(*) AS n FROM dl GROUP BY 1, 2, 3) GROUP BY 1, 2""", "em", extra=_DELTA_SQL))
 def bootstrap_observed(spark, sf) -> DataFrame:
     """The exact part of the two-level bootstrap, and that its interval holds the observed mean."""
-    d = resample.bootstrap(_deltas(spark, sf), ["comparison", "metric"], B=200, levels=2)
+    d = resample.bootstrap(_deltas(spark, sf), ["comparison", "metric"], B=600, levels=2)
     inside = (F.col("lo") - 1e-9 <= F.col("observed")) & (F.col("observed") <= F.col("hi") + 1e-9)
     return big(rounded6(d.select("comparison", "metric", "observed", "n_symbols", "n_events", inside.alias("inside")), "observed"), "n_symbols", "n_events")
 

@@ -66,7 +66,7 @@ def parse_selection(df: DataFrame, response: str, candidates: str, r: int) -> Da
     read = F.transform("_items", lambda x: F.struct(
         _get(x, "$.id", "double").cast("int").alias("id"),
         F.coalesce(_get(x, "$.attention", "double"), _get(x, "$.attention_points", "double"), F.lit(0.0)).alias("attention"),
-        F.substring(F.coalesce(_get(x, "$.reason", "string"), F.lit("")), 1, 300).alias("reason")))
+        F.coalesce(_get(x, "$.reason", "string"), F.lit("")).alias("reason")))
     pattern = r'(?s)"id"\s*:\s*(\d+).*?"attention"\s*:\s*([0-9.]+)'
     found = F.zip_with(
         F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2),

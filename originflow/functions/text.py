@@ -63,21 +63,22 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
-def clean_text(c: Column | str, limit: int = 1000) -> Column:
-    """The lookup key of a text: URLs dropped, whitespace squeezed, first ``limit`` characters."""
-    return F.substring(squeeze(F.regexp_replace(_text(c), f"https?://{NOT_SPACE}+", "")), 1, limit)
+def clean_text(c: Column | str, limit: int | None = None) -> Column:
+    """The lookup key of a text: URLs dropped, whitespace squeezed; the whole text unless a ``limit`` of characters is given."""
+    whole = squeeze(F.regexp_replace(_text(c), f"https?://{NOT_SPACE}+", ""))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def anonymize(
-    c: Column | str, tickers: list[str] = TICKERS, names: list[str] = COMPANY_NAMES, limit: int = 500
+    c: Column | str, tickers: list[str] = TICKERS, names: list[str] = COMPANY_NAMES, limit: int | None = None
 ) -> Column:
-    """Replace URLs, handles, cashtags, tickers and company names by placeholders."""
+    """Replace URLs, handles, cashtags, tickers and company names by placeholders, in the whole text unless a ``limit`` is given."""
     t = F.regexp_replace(_text(c), f"https?://{NOT_SPACE}+", " <URL> ")
     t = F.regexp_replace(t, r"@[A-Za-z0-9_]+", "<USER>")
     t = F.regexp_replace(t, r"\$[A-Za-z][A-Za-z0-9._-]*", "<ASSET>")
     for group in (tickers, names):
         t = F.regexp_replace(t, r"(?i)\b(?:" + "|".join(group) + r")\b", "<ASSET>")
-    return F.substring(squeeze(t), 1, limit)
+    return squeeze(t) if limit is None else F.substring(squeeze(t), 1, limit)
 
 
 SURFACE_NAMES = [

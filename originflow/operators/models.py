@@ -339,7 +339,7 @@ def residual_plugin(
         F.struct(F.lit(i).alias("a"), F.col(f"s_{i}").alias("score")) for i in range(len(alphas))])).alias("c")).select(
         *PANEL_KEYS, target, "c.*")
     got = symbol_mean(event_metrics(long, target, "score", ["a", "event_id", "sym"], ks=(3,)), ["ndcg3"], ["a"]).collect()
-    base_alpha = max(((r["ndcg3"], alphas[r["a"]]) for r in got), default=(0.0, alphas[-1]))[1]
+    base_alpha = max(((r["ndcg3"], alphas[r["a"]]) for r in got if r["ndcg3"] is not None), default=(0.0, alphas[-1]))[1]
     with_base = cut(score_vector(df, vec, {"base": inner.weights(base_alpha)}, prefix="_").drop(vec).withColumn(
         "_resid", F.col(target) - F.col("_base")))
     mom = moments(with_base, features, ["_resid"], fit)
@@ -353,13 +353,15 @@ def residual_plugin(
         *PANEL_KEYS, target, "c.*")
     got = symbol_mean(event_metrics(long, target, "score", ["a", "l", "event_id", "sym"], ks=(3,)),
                       ["ndcg3"], ["a", "l"]).collect()
-    _, alpha, lam = max((r["ndcg3"], alphas[r["a"]], lambdas[r["l"]]) for r in got)
+    # without usable dev events the strongest penalty and the first weight
+    _, alpha, lam = max(((r["ndcg3"], alphas[r["a"]], lambdas[r["l"]]) for r in got if r["ndcg3"] is not None),
+                        default=(0.0, alphas[-1], lambdas[0]))
     outer = fit_vector_ridge(df, vec, target, refit)
     final = cut(score_vector(df, vec, {"base": outer.weights(base_alpha)}, prefix="_").drop(vec).withColumn(
         "_resid", F.col(target) - F.col("_base")))
     comp = solve_ridge(moments(final, features, ["_resid"], refit), features, "_resid", alpha, "loose")
-    out = final.withColumn("base_score", F.col("_base")).withColumn(
-        "score", F.col("_base") + F.lit(lam) * comp.column()).drop("_base", "_resid")
+    part = F.lit(lam) * comp.column() if comp is not None else F.lit(0.0)  # too few rows to fit: the base alone
+    out = final.withColumn("base_score", F.col("_base")).withColumn("score", F.col("_base") + part).drop("_base", "_resid")
     return out, {"base_alpha": base_alpha, "alpha": alpha, "lambda": lam}
 
 
@@ -409,13 +411,14 @@ def listwise(df: DataFrame, features: list[str], grade: str, fit: Column, l2: fl
             q *= (hist[-1][0] @ hist[-1][1]) / (hist[-1][1] @ hist[-1][1])
         for (s_, y_), a in zip(hist[-6:], reversed(mem)):
             q += s_ * (a - (y_ @ q) / (y_ @ s_))
-        step = 1.0
-        while True:
+        step, better = 1.0, False
+        while step >= 1e-3 and not better:
             nb = b - step * q
             f1, g1 = loss_grad(nb)
-            if f1 <= f0 - 1e-4 * step * float(q @ g0) or step < 1e-3:
-                break
+            better = f1 <= f0 - 1e-4 * step * float(q @ g0)
             step *= 0.5
+        if not better:  # keep the point that no trial improved
+            break
         s_, y_ = nb - b, g1 - g0
         if s_ @ y_ > 1e-12:
             hist.append((s_, y_))

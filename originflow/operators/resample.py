@@ -35,11 +35,21 @@ def long_deltas(deltas: DataFrame, metrics: list[str] = METRICS, keys: list[str]
     return deltas.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
 
-def _split(rng: np.random.Generator, total: int, sizes: np.ndarray, block: int) -> int:
-    """This block's part of a multinomial split of ``total`` draws over all blocks of the group."""
-    if len(sizes) == 1:
-        return total
-    return int(rng.multinomial(total, sizes / sizes.sum())[block])
+def _split(seed: list[int], totals: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
+    """This block's part of multinomial splits of ``totals`` draws (one per replicate) over all blocks of the group.
+
+    The blocks are halved again and again; each halving is a binomial draw for all replicates at once, seeded by its place, so
+    every block finds the same draws on its way down and needs only as many as the logarithm of the number of blocks.
+    """
+    lo, hi, ends = 0, len(sizes), np.concatenate([[0.0], np.cumsum(sizes)])
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([*seed, lo, hi]).binomial(totals, (ends[mid] - ends[lo]) / (ends[hi] - ends[lo]))
+        if block < mid:
+            totals, hi = left, mid
+        else:
+            totals, lo = totals - left, mid
+    return totals
 
 
 def bootstrap(
@@ -70,17 +80,15 @@ def bootstrap(
         n, s, S, b = int(pdf["n"].iloc[0]), int(pdf["s_no"].iloc[0]), int(pdf["s_all"].iloc[0]), int(pdf["_b"].iloc[0])
         sizes = np.full(-(-n // block), block, dtype=float)
         sizes[-1] = n - block * (len(sizes) - 1)
-        part = np.zeros(B)
-        for r in range(B):
-            times = 1
-            if levels == 2:
-                times = int((np.random.default_rng([seed, r]).integers(0, S, S) == s).sum())
-            if times == 0:
-                continue
-            m = _split(np.random.default_rng([seed, r, s + 1, 0]), times * n, sizes, b)
-            if m:
-                pick = np.random.default_rng([seed, r, s + 1, b + 1]).integers(0, len(x), m)
-                part[r] = x[pick].sum() / n / (S if levels == 2 else 1)
+        times = np.ones(B, np.int64)
+        if levels == 2:
+            times = (np.random.default_rng([seed, 0]).integers(0, S, (B, S)) == s).sum(1)
+        m = _split([seed, s + 1], times * n, sizes, b)
+        part, rng = np.zeros(B), np.random.default_rng([seed, s + 1, b + 1, 1])
+        for r in range(0, B, 256):  # 256 replicates' draws at a time
+            k = m[r:r + 256]
+            drawn = x[rng.integers(0, len(x), int(k.sum()))]
+            part[r:r + 256] = np.bincount(np.repeat(np.arange(len(k)), k), drawn, len(k)) / n / (S if levels == 2 else 1)
         out = pd.DataFrame({"rep": np.arange(B), "part": part})
         for c in by:
             out[c] = pdf[c].iloc[0]
@@ -283,5 +291,6 @@ def partial_rank_corr(df: DataFrame, a: str, b: str, given: str, keys: list[str]
         d = mid_ranks(d, c, n, keys)
     agg = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("r_ab"),
                                F.corr("_ra", "_rc").alias("r_ac"), F.corr("_rb", "_rc").alias("r_bc"))
-    den = F.sqrt((1 - F.col("r_ac") ** 2) * (1 - F.col("r_bc") ** 2))
-    return agg.withColumn("partial", (F.col("r_ab") - F.col("r_ac") * F.col("r_bc")) / den)
+    den = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r_ac") ** 2) * (1 - F.col("r_bc") ** 2)))
+    # no partial correlation where the third variable explains one of the two wholly
+    return agg.withColumn("partial", (F.col("r_ab") - F.col("r_ac") * F.col("r_bc")) / F.when(den > 0, den))

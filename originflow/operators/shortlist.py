@@ -98,7 +98,7 @@ def capture(tasks: DataFrame, selections: DataFrame) -> DataFrame:
     full = tasks.filter(F.col("family") == "full")
     pool = full.groupBy("day", "event_id", "frame_j", "uid").agg(F.max("y").alias("y"))
     place = Window.partitionBy("day").orderBy(F.desc("y"), "uid", "event_id", "frame_j")
-    best = pool.withColumn("i", F.row_number().over(place)).filter(F.col("i") <= 30).withColumn(
+    best = pool.withColumn("i", F.row_number().over(place)).withColumn(
         "top_sum", F.sum("y").over(place.rowsBetween(Window.unboundedPreceding, 0))).select("day", F.col("i").alias("r"), "top_sum")
     floor = lambda c: F.greatest(c, F.lit(1e-12))
     return per.join(best, ["day", "r"], "left").select(

@@ -36,8 +36,8 @@ def missing_keys(items: DataFrame, store: DataFrame, key: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Long results (setting, target, method, metric, value)."""
-    results.write.mode("overwrite").partitionBy("setting").parquet(path)
+    """Long results (setting, target, method, metric, value). Only the settings that ``results`` holds are replaced."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("setting").parquet(path)
 
 
 def read_result(results: DataFrame, default: float | None = None, **where: str) -> DataFrame:
@@ -48,9 +48,9 @@ def read_result(results: DataFrame, default: float | None = None, **where: str)
     return d.agg(F.coalesce(F.max("value"), F.lit(default).cast("double")).alias("value"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A report table as CSV with a header (one file: reports are small)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """A table as CSV files with headers; ``single_file`` sends all rows through one task and is for small reports."""
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def score_lookup(rows: DataFrame, store: DataFrame, key: str, field: str, splits: list[str]) -> DataFrame:
