@@ -297,13 +297,13 @@ def bootstrap_auc(spark, sf) -> DataFrame:
     t = topq(spark, sf).withColumn("row_id", F.xxhash64("event_id", "frame_j"))
     cells = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("score")) for m, c in (("trait", "origin_ol"), ("followers", "origin_logfoll"))])
     long = t.select("sym", "row_id", "label", F.explode(cells).alias("c")).select("sym", "row_id", "label", "c.*")
-    draws = resample.bootstrap_auc(long, "label", "row_id", B=100)
+    draws = resample.bootstrap_auc(long, "label", "row_id", B=2000)
     return resample.auc_intervals(draws, [("trait", "followers")])
 
 
 @query("permutation_hierarchy")
 def permutation_hierarchy(spark, sf) -> DataFrame:
-    return resample.permutation_hierarchy(Shared.of(spark, sf).ranked, n=50)
+    return resample.permutation_hierarchy(Shared.of(spark, sf).ranked, n=1000)
 
 
 _BIN = "CAST(floor(date_diff('day', DATE '2024-01-01', day) / 10) AS INTEGER)"

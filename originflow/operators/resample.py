@@ -132,60 +132,56 @@ def bootstrap_auc(
     ``scores`` is long: (method, sym, row_id, y, score). A row's multiplicity in a replicate is Poisson(1)
     of its id, so all methods see the same resample wherever their rows are sorted. Each score bucket adds
     its own part; prefix totals join the parts. There are as many buckets as ``task_rows`` asks for, and a
-    score shared by very many rows has its own bucket, whose rows are dealt out to several tasks.
+    score shared by very many rows has its own bucket, whose rows are dealt out to several tasks. A row is
+    moved once per pass whatever ``B`` is: a task goes through the replicates, ``reps_per_task`` at a time.
     Returns (method, rep, auc, ap).
     """
     d = cut(scores.filter(finite("score")).select(
         F.col(methods).alias("method"), F.col(sym).alias("sym"), F.col(row_id).cast("long").alias("id"),
         F.col(y).cast("double").alias("y"), F.col("score").cast("double").alias("score")))
-    n_buckets = max(4, min(1024, -(-d.count() // task_rows)))
+    n_buckets = max(4, -(-d.count() // task_rows))
     d = with_value_bucket(d, "score", "_b", n_buckets).withColumn("_b", -F.col("_b"))
     size = d.groupBy("method", "sym", "_b").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("_p"))
     single = F.abs(F.col("_b")) % 2 == 1
     d = d.join(size, ["method", "sym", "_b"]).withColumn(
         "salt", F.when(single, F.pmod(F.xxhash64("id"), F.col("_p"))).otherwise(0).cast("int")).drop("_p")
-    chunks = -(-B // reps_per_task)
-    d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def weighted(pdf: pd.DataFrame):
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        c = int(pdf["chunk"].iloc[0])
-        reps = np.arange(c * reps_per_task, min(B, (c + 1) * reps_per_task))
-        w = poisson_weights(pdf["id"].to_numpy(), reps, seed)
-        s = pdf["score"].to_numpy()
+        ids, good, s = pdf["id"].to_numpy(), pdf["y"].to_numpy()[:, None], pdf["score"].to_numpy()
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        pos = np.add.reduceat(w * pdf["y"].to_numpy()[:, None], starts, axis=0)
-        return reps, pos, np.add.reduceat(w, starts, axis=0)
+        for c in range(0, B, reps_per_task):
+            reps = np.arange(c, min(B, c + reps_per_task))
+            w = poisson_weights(ids, reps, seed)
+            yield reps, np.add.reduceat(w * good, starts, axis=0), np.add.reduceat(w, starts, axis=0)
 
-    keys = ["method", "sym", "chunk", "_b"]
+    keys = ["method", "sym", "_b"]
 
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        reps, pos, cnt = weighted(pdf)
         head = pdf.iloc[0]
-        return pd.DataFrame({"method": head["method"], "sym": head["sym"], "chunk": head["chunk"], "_b": head["_b"],
-                             "rep": reps, "pos": pos.sum(0), "cnt": cnt.sum(0)})
+        return pd.concat([pd.DataFrame({"method": head["method"], "sym": head["sym"], "_b": head["_b"], "rep": reps,
+                                        "pos": pos.sum(0), "cnt": cnt.sum(0)}) for reps, pos, cnt in weighted(pdf)])
 
-    tot = d.groupBy(*keys, "salt").applyInPandas(totals, "method string, sym string, chunk int, _b int, rep int, pos double, cnt double")
+    tot = d.groupBy(*keys, "salt").applyInPandas(totals, "method string, sym string, _b int, rep int, pos double, cnt double")
     tot = cut(tot.groupBy(*keys, "rep").agg(F.sum("pos").alias("pos"), F.sum("cnt").alias("cnt")))
     before = Window.partitionBy("method", "sym", "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select("method", "sym", "chunk", "_b", "rep", "pos", "cnt",
+    carry = tot.select("method", "sym", "_b", "rep", "pos", "cnt",
                        F.coalesce(F.sum("pos").over(before), F.lit(0.0)).alias("pa"),
                        F.coalesce(F.sum("cnt").over(before), F.lit(0.0)).alias("ca"))
 
     def parts(pdf: pd.DataFrame, car: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(car):
             return pd.DataFrame(columns=["method", "sym", "rep", "pos", "cnt", "worse", "gain"])
-        reps, pos, cnt = weighted(pdf)
         car = car.sort_values("rep")
         pa, ca = car["pa"].to_numpy(), car["ca"].to_numpy()
-        tp, n = np.cumsum(pos, axis=0) + pa, np.cumsum(cnt, axis=0) + ca
-        neg = cnt - pos
-        neg_above = (n - tp) - neg
-        worse = (pos * (neg_above + 0.5 * neg)).sum(0)
-        gain = (pos * tp / np.maximum(n, 1e-12)).sum(0)
-        head = pdf.iloc[0]
-        return pd.DataFrame({"method": head["method"], "sym": head["sym"], "rep": reps, "pos": pos.sum(0),
-                             "cnt": cnt.sum(0), "worse": worse, "gain": gain})
+        head, out = pdf.iloc[0], []
+        for reps, pos, cnt in weighted(pdf):
+            tp, n = np.cumsum(pos, axis=0) + pa[reps], np.cumsum(cnt, axis=0) + ca[reps]
+            neg = cnt - pos
+            neg_above = (n - tp) - neg
+            out.append(pd.DataFrame({"method": head["method"], "sym": head["sym"], "rep": reps, "pos": pos.sum(0), "cnt": cnt.sum(0),
+                                     "worse": (pos * (neg_above + 0.5 * neg)).sum(0), "gain": (pos * tp / np.maximum(n, 1e-12)).sum(0)}))
+        return pd.concat(out)
 
     # one score per bucket: totals are enough
     upto = F.when(F.col("ca") + F.col("cnt") > 0, F.col("ca") + F.col("cnt"))
@@ -233,21 +229,82 @@ def auc_intervals(draws: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         F.avg((F.col("d") > 0).cast("double")).alias("p_gt0"))
 
 
+def permuted_places(rank: np.ndarray, k: np.ndarray, event: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """Places (rows x replicates) of ranks 1..k under a pseudo-random permutation of their event in each replicate.
+
+    Four Feistel rounds on an m x m grid of at least k cells, repeated where a place falls outside 1..k. A row finds its place
+    from its own rank and its event's number alone, so nothing is sorted and no row meets another.
+    """
+    size = k.astype(np.uint64)[:, None]
+    m = np.ceil(np.sqrt(size.astype(np.float64))).astype(np.uint64)
+    m = np.where(m * m < size, m + np.uint64(1), m)
+    with np.errstate(over="ignore"):
+        key = _mix(event.astype(np.int64).view(np.uint64)[:, None] + _mix(reps.astype(np.uint64)[None, :] + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03)))
+        x = np.broadcast_to((rank.astype(np.uint64) - np.uint64(1))[:, None], key.shape).copy()
+        m, size = np.broadcast_to(m, key.shape), np.broadcast_to(size, key.shape)
+        todo = np.ones(x.shape, bool)
+        while todo.any():
+            left, right, q, mm = x[todo] // m[todo], x[todo] % m[todo], key[todo], m[todo]
+            for step in range(4):
+                left, right = right, (left + _mix(q + right * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)) % mm) % mm
+            x[todo] = left * mm + right
+            todo = x >= size
+    return x.astype(np.int64) + 1
+
+
 def permutation_hierarchy(ranked: DataFrame, n: int = 1000, seed: int = 11, min_actors: int = 5, min_events: int = 4) -> DataFrame:
     """Per symbol, the hierarchy statistic sum(S^2 / n) against lead ranks permuted inside events.
 
-    S is an actor's summed net lead. Replicates are drawn in one pass: each row gets an order key per
-    replicate, so the job is linear in rows times replicates; run it in batches for a large n.
+    S is an actor's summed net lead. A row's permuted rank needs only the row (``permuted_places``), so rows are moved once,
+    to their actor, and a task adds up S^2 / n of its actors for all replicates; one row per task, symbol and replicate goes on.
     """
-    base = ranked.filter(F.col("k") >= min_actors).select(*EVENT, "actor", "k", "rank", "net_lead")
-    observed = base.withColumn("rep", F.lit(0)).withColumn("lead", F.col("net_lead"))
-    reps = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    place = permuted_rank(reps, seed)
-    drawn = place.withColumn("lead", F.col("k") + 1 - 2 * F.col("place"))
-    cols = ["sym", "rep", "actor", "lead"]
-    per = observed.select(*cols).unionByName(drawn.select(*cols)).groupBy("sym", "rep", "actor").agg(
-        F.sum("lead").alias("s"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_events)
-    t = per.groupBy("sym", "rep").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("t"), F.count(F.lit(1)).alias("actors"))
+    base = ranked.filter(F.col("k") >= min_actors).select(
+        "sym", "actor", F.xxhash64("sym", "day").alias("event"), F.col("k").cast("long"), F.col("rank").cast("long"), F.col("net_lead").cast("double"))
+    names = ["sym", "actor", "event", "k", "rank", "net_lead"]
+
+    def flush(d: pd.DataFrame, sums: dict) -> None:
+        new = np.r_[True, (d["sym"].to_numpy()[1:] != d["sym"].to_numpy()[:-1]) | (d["actor"].to_numpy()[1:] != d["actor"].to_numpy()[:-1])]
+        starts = np.flatnonzero(new)
+        events = np.diff(np.r_[starts, len(d)])
+        used = events >= min_events
+        if not used.any():
+            return
+        sym = d["sym"].to_numpy()[starts][used]
+        t = np.empty((int(used.sum()), n + 1))
+        t[:, 0] = np.add.reduceat(d["net_lead"].to_numpy(), starts)[used]
+        k, rank, event = (d[c].to_numpy() for c in ("k", "rank", "event"))
+        for r in range(0, n, 50):
+            reps = np.arange(r + 1, min(n, r + 50) + 1)
+            lead = k[:, None] + 1 - 2 * permuted_places(rank, k, event, reps, seed)
+            t[:, reps] = np.add.reduceat(lead.astype(np.float64), starts, axis=0)[used]
+        t = t * t / events[used][:, None]
+        for s in np.unique(sym):
+            old, count = sums.get(s, (0.0, 0))
+            sums[s] = (old + t[sym == s].sum(0), count + int((sym == s).sum()))
+
+    def run(batches):
+        sums, waiting = {}, None
+
+        def out():
+            for s, (t, actors) in sums.items():
+                yield pd.DataFrame({"sym": s, "rep": np.arange(n + 1), "t": t, "actors": actors})
+            sums.clear()
+        for d in batches:
+            d = d if waiting is None else pd.concat([waiting, d], ignore_index=True)
+            last = (d["sym"] == d["sym"].iloc[-1]) & (d["actor"] == d["actor"].iloc[-1]) if len(d) else None
+            done = d[~last] if len(d) else d
+            waiting = d[last].reset_index(drop=True) if len(d) else None
+            if len(done):
+                flush(done.reset_index(drop=True), sums)
+            if len(sums) > 500:
+                yield from out()
+        if waiting is not None and len(waiting):
+            flush(waiting, sums)
+        yield from out()
+
+    t = base.select(*names).repartition("sym", "actor").sortWithinPartitions("sym", "actor").mapInPandas(
+        run, f"sym {base.schema['sym'].dataType.simpleString()}, rep int, t double, actors long") \
+        .groupBy("sym", "rep").agg(F.sum("t").alias("t"), F.sum("actors").alias("actors"))
     obs = t.filter("rep = 0").select("sym", F.col("t").alias("observed"), "actors")
     null = t.filter("rep > 0").select("sym", "t")
     return obs.join(null, "sym").groupBy("sym", "observed", "actors").agg(
@@ -255,20 +312,6 @@ def permutation_hierarchy(ranked: DataFrame, n: int = 1000, seed: int = 11, min_
         ((1 + F.sum((F.col("t") >= F.col("observed")).cast("int"))) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
-def permuted_rank(reps: DataFrame, seed: int) -> DataFrame:
-    """A random permutation of 1..k inside each (event, replicate): the place of a row's hash, two-level."""
-    d = reps.withColumn("_h", F.xxhash64(F.lit(seed), "rep", "sym", "day", "actor"))
-    # as many hash ranges as the event has blocks of rows
-    d = d.withColumn("_n", F.ceil(F.col("k") / F.lit(4096)).cast("long"))
-    d = d.withColumn("_hb", F.floor((F.shiftrightunsigned("_h", 1) / F.lit(float(1 << 63))) * F.col("_n")).cast("int"))
-    local = Window.partitionBy("rep", *EVENT, "_hb").orderBy(F.shiftrightunsigned("_h", 1), "actor")
-    before = Window.partitionBy("rep", *EVENT).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    multi = d.filter("_n > 1").groupBy("rep", *EVENT, "_hb").agg(F.count(F.lit(1)).alias("_c")).select(
-        "rep", *EVENT, "_hb", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    d = d.withColumn("_r", F.row_number().over(local)).join(multi, ["rep", *EVENT, "_hb"], "left")
-    return d.withColumn("place", F.col("_r") + F.coalesce("_off", F.lit(0))).drop("_h", "_n", "_hb", "_r", "_off")
-
-
 def persistence(traits: DataFrame, lag: int = 1, match: DataFrame | None = None) -> DataFrame:
     """Spearman of the trait in bin t and bin t + lag, per bin pair.
 

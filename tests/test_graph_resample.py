@@ -157,9 +157,13 @@ def test_auc_bootstrap_equals_weighted_auc(spark, size):
 
 def test_permutation(spark):
     df, *_ = ranked(spark, 30, 9, 1)
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    p = resample.permuted_rank(reps, 3).groupBy("rep", "sym", "day", "k").agg(F.sort_array(F.collect_list("place")).alias("p"))
-    assert p.filter("p <> sequence(1L, k)").count() == 0
+    for k in (1, 2, 9, 10, 100):  # a permutation in every replicate, and each place equally often
+        places = resample.permuted_places(np.arange(1, k + 1), np.full(k, k), np.full(k, -17), np.arange(4000), 3)
+        assert (np.sort(places, axis=0) == np.arange(1, k + 1)[:, None]).all()
+        if k == 9:
+            seen = np.array([np.bincount(row, minlength=k + 1)[1:] for row in places])
+            assert abs(seen / 4000 - 1 / k).max() < 0.03
+            assert abs(np.corrcoef(places)[0, 1:] + 1 / (k - 1)).max() < 0.06
     fixed = spark.createDataFrame([("s", DAY + dt.timedelta(days=e), a, a + 1, 8, 9 - 2 * (a + 1)) for e in range(20) for a in range(8)],
                                   "sym string, day date, actor long, rank long, k long, net_lead long")
     strong = resample.permutation_hierarchy(fixed, n=60).first()
