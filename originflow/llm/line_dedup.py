@@ -16,6 +16,7 @@ from originflow.llm.common import Staged
 
 SPACE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
 MIN_CHARS, MIN_DOCS = 40, 5
+SALTS = 16  # parts of a key's documents when they meet the hot keys, of which each then has that many rows
 
 
 def line_key(line: str) -> str:
@@ -73,15 +74,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that keeps a line. Other columns stay; input columns named ``n_lines`` or ``n_dropped`` are replaced. An empty table
     gives an empty table.
 
-    Plan: distinct counts are combined before the shuffle, so a line that all documents share sends one row per task; the
-    join of line keys with hot keys is a plain join that adaptive execution may split; no list is longer than a document.
+    Plan: distinct counts are combined before the shuffle, so a line that all documents share sends one row per task; when
+    line keys meet hot keys, a key's documents are dealt into ``SALTS`` parts; no list is longer than a document.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     keys = Staged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
                   .mapInArrow(_keys_of(min_chars), f"doc_id {id_type}, h1 long, h2 long"), "line-keys").df
     hot = keys.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")) \
-        .filter(F.col("n") >= min_docs).drop("n")
-    drops = keys.join(hot, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))) \
+        .filter(F.col("n") >= min_docs).select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    drops = salted.join(hot, ["h1", "h2", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))) \
         .groupBy(F.col("doc_id").alias("_op5_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_op5_drops"))
     keep = arrow_udf(_keep_of(min_chars), "struct<text string, n_lines long, n_dropped long>")
     out = docs.join(drops, docs[id_col].eqNullSafe(F.col("_op5_id")), "left") \
