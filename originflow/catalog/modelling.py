@@ -16,6 +16,9 @@ from originflow.operators.events import first_posts, rank_posts
 from originflow.session import cut
 
 Y = "log_future_reach"
+# fixed values: penalties and weights of the residual model
+VECTOR_ALPHAS = [0.1, 1.0, 10.0, 100.0, 1000.0]
+LAMBDAS = [0.0, 0.05, 0.10, 0.20, 0.35, 0.50, 0.75, 1.00, 1.50, -0.05, -0.10, -0.20]
 ALPHAS = [0.1, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0]
 
 # ---- moments and ridge -----------------------------------------------------------------------
@@ -102,7 +105,7 @@ def _with_vectors(s: Shared) -> DataFrame:
 @query("vector_ridge")
 def vector_ridge(spark, sf) -> DataFrame:
     s = Shared.of(spark, sf)
-    scored, alpha = models.vector_ridge_select(_with_vectors(s), "emb", Y, inner_fit(), inner_dev(), is_train(), [1.0, 10.0, 100.0, 1000.0])
+    scored, alpha = models.vector_ridge_select(_with_vectors(s), "emb", Y, inner_fit(), inner_dev(), is_train(), VECTOR_ALPHAS)
     return scored.select("event_id", "frame_j", "score").withColumn("alpha", F.lit(alpha))
 
 
@@ -110,7 +113,7 @@ def vector_ridge(spark, sf) -> DataFrame:
 def residual_plugin(spark, sf) -> DataFrame:
     s = Shared.of(spark, sf)
     out, _ = models.residual_plugin(_with_vectors(s), "emb", ft.CONTEXT, Y, inner_fit(), inner_dev(), is_train(),
-                                    [10.0, 100.0, 1000.0], [0.0, 0.5, 1.0])
+                                    VECTOR_ALPHAS, LAMBDAS)
     return out.select("event_id", "frame_j", "base_score", "score")
 
 
@@ -122,14 +125,14 @@ def graph_panel(s: Shared) -> DataFrame:
 def listwise_ranker(spark, sf) -> DataFrame:
     """Four feature sets with the net-lead rate, fitted listwise on train-edge grades."""
     p = cut(mx.quantile_grade(graph_panel(Shared.of(spark, sf)), Y, is_train()))
-    sets = {k: models.listwise(p, fs, "grade", is_train(), steps=6) for k, fs in ft.RATE_SETS.items() if k in ("A_context", "BR_ctx+Ok+rate")}
+    sets = {k: models.listwise(p, fs, "grade", is_train()) for k, fs in ft.RATE_SETS.items()}
     return _set_means(p, sets)
 
 
 @query("tree_ranker")
 def tree_ranker(spark, sf) -> DataFrame:
     p = cut(mx.quantile_grade(graph_panel(Shared.of(spark, sf)), Y, is_train()))
-    out = models.tree_ranker(p, ft.RATE_SETS["BR_ctx+Ok+rate"], "grade", is_train(), trees=5, depth=3)
+    out = models.tree_ranker(p, ft.RATE_SETS["BR_ctx+Ok+rate"], "grade", is_train())
     ev = mx.event_metrics(out.filter("split = 'test'"), Y, "score", ["event_id", "sym"], ks=(1, 3))
     return mx.symbol_mean(ev, ["ndcg3", "hit1", "mass3", "js"])
 
@@ -238,12 +241,12 @@ def precedence_potential(spark, sf) -> DataFrame:
 
 @query("random_walks")
 def random_walks(spark, sf) -> DataFrame:
-    return graph.random_walks(lead_graph(Shared.of(spark, sf)), walks=2, length=8)
+    return graph.random_walks(lead_graph(Shared.of(spark, sf)), walks=10, length=20)
 
 
 @query("node_embeddings")
 def node_embeddings(spark, sf) -> DataFrame:
-    return graph.node_embeddings(lead_graph(Shared.of(spark, sf)), dim=16, walks=2, length=8)
+    return graph.node_embeddings(lead_graph(Shared.of(spark, sf)), dim=64, walks=10, length=20)
 
 
 @query("graph_panel", compose(f"""SELECT event_id, CAST(frame_j AS BIGINT) AS frame_j, {r6('coalesce(g_out, 0)', 'g_out')}, {r6('coalesce(g_in, 0)', 'g_in')}, {r6('coalesce(g_net, 0)', 'g_net')},

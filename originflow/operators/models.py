@@ -347,10 +347,12 @@ def residual_plugin(
     for i, a in enumerate(alphas):
         m = solve_ridge(mom, features, "_resid", a, "loose")
         if m is not None:
-            cells += [F.struct(F.lit(i).alias("a"), F.lit(j).alias("l"),
-                               (F.col("_base") + F.lit(lam) * m.column()).alias("score")) for j, lam in enumerate(lambdas)]
-    long = with_base.filter(dev).select(*PANEL_KEYS, target, F.explode(F.array(*cells)).alias("c")).select(
-        *PANEL_KEYS, target, "c.*")
+            cells.append(F.struct(F.lit(i).alias("a"), m.column().alias("part")))
+    # penalties first, weights after, so that each model's sum is written once
+    weights = F.explode(F.array(*[F.struct(F.lit(j).alias("l"), F.lit(float(v)).alias("v")) for j, v in enumerate(lambdas)])).alias("w")
+    long = with_base.filter(dev).select(*PANEL_KEYS, target, "_base", F.explode(F.array(*cells)).alias("c")).select(
+        *PANEL_KEYS, target, "_base", "c.*", weights).select(
+        *PANEL_KEYS, target, "a", "w.l", (F.col("_base") + F.col("w.v") * F.col("part")).alias("score"))
     got = symbol_mean(event_metrics(long, target, "score", ["a", "l", "event_id", "sym"], ks=(3,)),
                       ["ndcg3"], ["a", "l"]).collect()
     # without usable dev events the strongest penalty and the first weight
