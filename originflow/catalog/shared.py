@@ -43,6 +43,9 @@ class Shared:
 
     @classmethod
     def clear(cls) -> None:
+        for shared in cls._all.values():
+            if "lead_graph" in shared.__dict__:
+                shared.__dict__["lead_graph"].close()
         cls._all.clear()
 
     def table(self, name: str) -> DataFrame:
