@@ -94,3 +94,31 @@ def test_prefix_model_is_a_distribution():
     assert ratios["zap"] > 1 and ratios["abd"] < 0 and ratios["b"] < 0
     assert abs(ratios["zap"] - ratios["zapxyz"]) < 3  # what follows a history that only one class has adds nothing
     assert toxicity.evidence("the zap the a", ratios) > toxicity.evidence("the a the a", ratios) == 0.0
+
+
+def test_rare_prefixes_of_both_classes_are_learned(spark):
+    """The model worked out in tasks equals the one of all counts, also where the toxic class has few or no pairs."""
+    rng = np.random.default_rng(3)
+    cells = {}
+    for k, letters, n in ((0, "abcdef", 3000), (1, "abcxyz", 300)):
+        for w in ("".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(n)):
+            for i in range(len(w) + 2):
+                cells.setdefault((w + toxicity.END)[:i], [0] * 8)[k * 4 + int(rng.integers(4))] += 1
+    columns = "prefix string, " + ", ".join(f"n{i} long" for i in range(8))
+    got = toxicity.learn(spark.createDataFrame([(p, *n) for p, n in cells.items()], columns))
+    want = toxicity.PrefixModel(list(cells), np.array(list(cells.values())))
+    words = [p.removesuffix(toxicity.END) for p in cells if p] + ["zzzq", "äöü", "fedcbaq"]
+    for part in range(toxicity.CROSS + 1):
+        a, b = got.ratios(part), want.ratios(part)
+        assert np.allclose([a[w] for w in words], [b[w] for w in words], atol=1e-4)
+    known = set(got.keys.tolist())
+    ordinary = [p for p, n in cells.items() if sum(n[:4]) > 3 and sum(n[4:]) == 0]
+    assert ordinary and all(toxicity.key_of(p) in known for p in ordinary if sum(cells[p[:-1]][:4]) > 3)
+
+
+def test_toxicity_keeps_prefixes_with_little_toxic_support(spark):
+    docs = [(i, f"plain {'gardens' if i % 2 else 'gardenzz vile'} grow") for i in range(400)] + [(1000 + i, "the ferns are green") for i in range(400)]
+    labels = [(i, 1 - i % 2 if i < 20 else 0) for i in range(400)] + [(1000 + i, 0) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    known = set(model.prefixes.keys.tolist())
+    assert all(toxicity.key_of(p) in known for p in ("ferns" + toxicity.END, "green", "are"))
