@@ -104,17 +104,8 @@ def _links_of(max_bits):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest id linked through near fingerprints.
-
-    Documents with equal fingerprints become one before any comparison, so copies cost one row; each of the rest goes to four
-    segment groups, a hot segment is split into blocks whose pairs are checked apart, and a task gives only links that join
-    something, at most one per row it read. No link is lost: connectivity is that of all pairs. ``max_bits`` below the number
-    of segments is required for the chain's exact first segment. Defined cases: null and empty texts have fingerprint zero
-    and are linked like others; null ids get a fingerprint and, as ids, count last (null only if no other is reachable);
-    rows that repeat an id are kept; other columns are not read; an empty table gives no rows.
-    """
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``doc_id, code`` and the distinct codes as ``code, first, root``."""
     if max_bits >= SEGMENTS:
         raise ValueError("max_bits must be below the number of segments")
     code = arrow_udf(_fingerprints_of(shingle), "long")
@@ -128,9 +119,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = ["pos", "segment", "pair_a", "pair_b"]
     links = dealt.repartition(*keys).sortWithinPartitions(*keys).select("code", *keys).mapInArrow(_links_of(max_bits), "a long, b long")
     roots = components(links)
-    placed = distinct.join(roots, distinct["code"] == roots["node"], "left") \
+    return rows, distinct.join(roots, distinct["code"] == roots["node"], "left") \
         .select("code", "first", F.coalesce("root", "code").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest id linked through near fingerprints.
+
+    Documents with equal fingerprints become one before any comparison, so copies cost one row; each of the rest goes to four
+    segment groups, a hot segment is split into blocks whose pairs are checked apart, and a task gives only links that join
+    something, at most one per row it read. No link is lost: connectivity is that of all pairs. ``max_bits`` below the number
+    of segments is required for the chain's exact first segment. Defined cases: null and empty texts have fingerprint zero
+    and are linked like others; null ids get a fingerprint and, as ids, count last (null only if no other is reachable);
+    rows that repeat an id are kept; other columns are not read; an empty table gives no rows.
+    """
+    rows, placed = _placed(docs, id_col, text_col, shingle, max_bits)
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_code = placed.join(smallest, "root").select(F.col("code").alias("_code"), "component_id")
     return rows.join(of_code, F.col("code") == F.col("_code")).select(
         "doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` for each component of near fingerprints: that with the smallest id, null ids last.
+
+    Rows are judged one by one, not by their ids: rows that share an id or have none stay unless their own text is a near
+    copy. Equal ids in a component are ordered by fingerprint and then by the hash of the row. Rows of a fingerprint are
+    reduced before the shuffle, so copies do not meet in one task.
+    """
+    _, placed = _placed(docs, id_col, text_col, shingle, max_bits)
+    chosen = placed.groupBy("root").agg(F.min_by("code", F.struct(F.isnull("first"), "first", "code")).alias("_chosen")).select("_chosen")
+    code = arrow_udf(_fingerprints_of(shingle), "long")
+    row = F.min_by(F.struct(*docs.columns), F.struct(F.isnull(id_col), id_col, F.xxhash64(*docs.columns)))
+    first = docs.withColumn("_code", code(F.col(text_col).cast("string"))).groupBy("_code").agg(row.alias("_row"))
+    return first.join(chosen, F.col("_code") == F.col("_chosen"), "left_semi").select("_row.*")

@@ -70,3 +70,13 @@ def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i * 7 % 31}" for i in range(60)) for k in ("ash", "birch", "cedar", "elm", "fir"))
+    rows = [(1, a), (None, a), (None, b), (None, c), (5, d), (7, d), (7, e), (None, e + " "), (9, "x y z"), (9, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (None, b), (None, c), (5, d), (7, e), (9, "x y z")], key=str)
