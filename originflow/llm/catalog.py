@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from originflow.llm import html_text, line_dedup, masked_lm, mih, packing, quality, rp_forest, simhash, toxicity, unigram
+from originflow.llm import (exact_dedup, html_text, line_dedup, masked_lm, mih, packing, quality, rp_forest, simhash, spelling, token_align,
+                            toxicity, unigram)
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -75,3 +76,21 @@ def op9_sentencepiece(spark, sf_dir):
 def op10_masked_lm(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return masked_lm.score(docs, masked_lm.fit(docs)).select("doc_id", "n_words", "pseudo_loglik", "mean_loglik")
+
+
+@query("op11_exact_dedup", exact_dedup.ORACLE_SQL)
+def op11_exact_dedup(spark, sf_dir):
+    out = exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    return token_align.statistics(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_spelling_variants", spelling.ORACLE_SQL)
+def op13_spelling_variants(spark, sf_dir):
+    words = spelling.word_counts(read_table(spark, sf_dir, "documents"), damage_every=97)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
