@@ -184,28 +184,39 @@ def nested_test(spark, sf) -> DataFrame:
 
 # ---- graph -----------------------------------------------------------------------------------
 
-ITER = 10
-PIECES["edges"] = (["rk"], f"""gk AS MATERIALIZED (SELECT sym, day, actor, rank, k FROM rk WHERE day < DATE '{CUTOFFS[1]}'),
-edges AS MATERIALIZED (SELECT a.actor AS src, b.actor AS dst, CAST(count(*) AS DOUBLE) AS w FROM gk a JOIN gk b ON a.sym = b.sym AND a.day = b.day AND a.rank < b.rank GROUP BY 1, 2),
-nodes AS MATERIALIZED (SELECT actor, CAST(sum(k - rank) AS DOUBLE) AS o, CAST(sum(rank - 1) AS DOUBLE) AS i, count(*) OVER () AS n FROM gk GROUP BY actor)""")
-
-
-def _unroll(name: str, start: str, step: str, times: int = ITER) -> str:
-    parts = [f"{name}0 AS MATERIALIZED ({start})"]
-    for t in range(1, times + 1):
-        parts.append(f"{name}{t} AS MATERIALIZED (" + step.replace("{prev}", f"{name}{t - 1}") + ")")
-    return ",\n".join(parts)
-
-
-_PR = _unroll("pr", "SELECT actor, 1.0 / n AS x FROM nodes", """SELECT q.actor, 0.85 * (coalesce(y, 0) + lost / n) + 0.15 / n AS x FROM nodes q
- LEFT JOIN (SELECT src AS actor, sum(w * x / d.i) AS y FROM edges JOIN {prev} p ON p.actor = dst JOIN nodes d ON d.actor = dst GROUP BY src) s ON s.actor = q.actor,
- (SELECT coalesce(sum(x), 0) AS lost FROM {prev} JOIN nodes USING (actor) WHERE i = 0)""")
-_HITS = _unroll("h", "SELECT actor, 1.0 / n AS x FROM nodes", """SELECT actor, x / sum(x) OVER () AS x FROM (SELECT q.actor, coalesce(y, 0) AS x FROM nodes q
- LEFT JOIN (SELECT src AS actor, sum(w * a.x) AS y FROM edges JOIN (SELECT dst AS actor, sum(w * x) AS x FROM edges JOIN {prev} p ON p.actor = src GROUP BY dst) a ON a.actor = dst GROUP BY src) s ON s.actor = q.actor)""")
-_IP = _unroll("ip", "SELECT actor, CAST(1 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b FROM nodes", """SELECT actor, a / sum(a) OVER () * n AS a, b / sum(b) OVER () * n AS b FROM (SELECT q.actor, q.n,
- CASE WHEN o > 0 THEN coalesce(l.y, 0) / o ELSE 0 END AS a, CASE WHEN i > 0 THEN coalesce(t.y, 0) / i ELSE 0 END AS b FROM nodes q
- LEFT JOIN (SELECT src AS actor, sum(w * b) AS y FROM edges JOIN {prev} p ON p.actor = dst GROUP BY src) l ON l.actor = q.actor
- LEFT JOIN (SELECT dst AS actor, sum(w * a) AS y FROM edges JOIN {prev} p ON p.actor = src GROUP BY dst) t ON t.actor = q.actor)""")
+PIECES["edges"] = (["rk", "cutoffs"], """gk AS MATERIALIZED (SELECT cutoff, sym, day, actor, rank, k FROM rk JOIN cutoffs ON day < cutoff),
+edges AS MATERIALIZED (SELECT a.cutoff, a.actor AS src, b.actor AS dst, CAST(count(*) AS DOUBLE) AS w FROM gk a JOIN gk b
+ ON a.cutoff = b.cutoff AND a.sym = b.sym AND a.day = b.day AND a.rank < b.rank GROUP BY 1, 2, 3),
+nodes AS MATERIALIZED (SELECT cutoff, actor, CAST(sum(k - rank) AS DOUBLE) AS o, CAST(sum(rank - 1) AS DOUBLE) AS i,
+ count(*) OVER (PARTITION BY cutoff) AS n FROM gk GROUP BY cutoff, actor)""")
+# recursions to the operators' own stop rules: every round sees the one before, the last round of a cutoff is its result
+PIECES["pr"] = (["edges"], """prw AS (SELECT 0 AS it, cutoff, actor, n, i, 1.0 / n AS x, CAST(1e9 AS DOUBLE) AS err FROM nodes UNION ALL
+ SELECT it, cutoff, actor, n, i, x, sum(abs(x - was)) OVER (PARTITION BY cutoff) AS err FROM (
+ SELECT p.it + 1 AS it, p.cutoff, p.actor, p.n, p.i, p.x AS was, 0.85 * (coalesce(s.y, 0) + coalesce(l.lost, 0) / p.n) + 0.15 / p.n AS x FROM prw p
+ LEFT JOIN (SELECT e.cutoff, src, sum(w * q.x / q.i) AS y FROM edges e JOIN prw q ON q.cutoff = e.cutoff AND q.actor = dst GROUP BY e.cutoff, src) s
+  ON s.cutoff = p.cutoff AND s.src = p.actor
+ LEFT JOIN (SELECT cutoff, sum(x) AS lost FROM prw WHERE i = 0 GROUP BY cutoff) l ON l.cutoff = p.cutoff
+ WHERE p.err >= p.n * 1e-6 AND p.it < 100)),
+pr AS MATERIALIZED (SELECT cutoff, actor, x AS g_pr FROM prw QUALIFY it = max(it) OVER (PARTITION BY cutoff))""")
+PIECES["hub"] = (["edges"], """hw AS (SELECT 0 AS it, cutoff, actor, 1.0 / n AS x, CAST(1e9 AS DOUBLE) AS err FROM nodes UNION ALL
+ SELECT it, cutoff, actor, x, sum(abs(x - was)) OVER (PARTITION BY cutoff) AS err FROM (
+ SELECT it, cutoff, actor, was, y / sum(y) OVER (PARTITION BY cutoff) AS x FROM (
+ SELECT p.it + 1 AS it, p.cutoff, p.actor, p.x AS was, coalesce(s.y, 0) AS y FROM hw p LEFT JOIN (
+  SELECT e.cutoff, e.src, sum(e.w * a.x) AS y FROM edges e JOIN (
+   SELECT f.cutoff, f.dst, sum(f.w * q.x) AS x FROM edges f JOIN hw q ON q.cutoff = f.cutoff AND q.actor = f.src GROUP BY f.cutoff, f.dst) a
+  ON a.cutoff = e.cutoff AND a.dst = e.dst GROUP BY e.cutoff, e.src) s ON s.cutoff = p.cutoff AND s.src = p.actor
+ WHERE p.err >= 1e-8 AND p.it < 500))),
+hub AS MATERIALIZED (SELECT cutoff, actor, x AS g_hub FROM hw QUALIFY it = max(it) OVER (PARTITION BY cutoff))""")
+PIECES["inf"] = (["edges"], """iw AS (SELECT 0 AS it, cutoff, actor, n, o, i, CAST(1 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b FROM nodes UNION ALL
+ SELECT it, cutoff, actor, n, o, i, a / sum(a) OVER (PARTITION BY cutoff) * n AS a, b / sum(b) OVER (PARTITION BY cutoff) * n AS b FROM (
+ SELECT p.it + 1 AS it, p.cutoff, p.actor, p.n, p.o, p.i, CASE WHEN o > 0 THEN coalesce(l.y, 0) / o ELSE 0 END AS a,
+  CASE WHEN i > 0 THEN coalesce(t.y, 0) / i ELSE 0 END AS b FROM iw p
+ LEFT JOIN (SELECT e.cutoff, src, sum(w * q.b) AS y FROM edges e JOIN iw q ON q.cutoff = e.cutoff AND q.actor = dst GROUP BY e.cutoff, src) l
+  ON l.cutoff = p.cutoff AND l.src = p.actor
+ LEFT JOIN (SELECT e.cutoff, dst, sum(w * q.a) AS y FROM edges e JOIN iw q ON q.cutoff = e.cutoff AND q.actor = src GROUP BY e.cutoff, dst) t
+  ON t.cutoff = p.cutoff AND t.dst = p.actor WHERE p.it < 100)),
+inf AS MATERIALIZED (SELECT cutoff, actor, a AS influence, b AS passivity FROM iw WHERE it = 100)""")
+_LAST = f"cutoff = DATE '{CUTOFFS[1]}'"
 
 
 def lead_graph(s: Shared) -> graph.LeadGraph:
@@ -218,19 +229,33 @@ def _r10(d: DataFrame, *cols: str) -> DataFrame:
     return d.withColumns({c: F.round(c, 9) for c in cols})
 
 
-@query("pagerank_reversed", compose(f"SELECT actor, round(x, 9) + 0.0 AS g_pr FROM pr{ITER}", "edges", extra=_PR))
+@query("pagerank_reversed", compose(f"SELECT actor, round(g_pr, 9) + 0.0 AS g_pr FROM pr WHERE {_LAST}", "pr"))
 def pagerank_reversed(spark, sf) -> DataFrame:
-    return _r10(graph.pagerank_reversed(lead_graph(Shared.of(spark, sf)), tol=0.0, max_iter=ITER), "g_pr")
+    return _r10(graph.pagerank_reversed(lead_graph(Shared.of(spark, sf))), "g_pr")
 
 
-@query("hits_hub", compose(f"SELECT actor, round(x, 9) + 0.0 AS g_hub FROM h{ITER}", "edges", extra=_HITS))
+@query("hits_hub", compose(f"SELECT actor, {r6('g_hub', 'g_hub')} FROM hub WHERE {_LAST}", "hub"))
 def hits_hub(spark, sf) -> DataFrame:
-    return _r10(graph.hits_hub(lead_graph(Shared.of(spark, sf)), tol=0.0, max_iter=ITER), "g_hub")
+    return rounded6(graph.hits_hub(lead_graph(Shared.of(spark, sf))), "g_hub")
 
 
-@query("influence_passivity", compose(f"SELECT actor, {r6('a', 'influence')}, {r6('b', 'passivity')} FROM ip{ITER}", "edges", extra=_IP))
+@query("influence_passivity", compose(f"SELECT actor, {r6('influence', 'influence')}, {r6('passivity', 'passivity')} FROM inf WHERE {_LAST}", "inf"))
 def influence_passivity(spark, sf) -> DataFrame:
-    return rounded6(graph.influence_passivity(lead_graph(Shared.of(spark, sf)), rounds=ITER, still=0.0), "influence", "passivity")
+    return rounded6(graph.influence_passivity(lead_graph(Shared.of(spark, sf))), "influence", "passivity")
+
+
+_GRAPH = ["g_out", "g_in", "g_net", "g_net_rate", "g_pr", "g_hub", "influence", "passivity"]
+
+
+@query("graph_features_panel", compose(f"""SELECT event_id, CAST(frame_j AS BIGINT) AS frame_j, split, {', '.join(r6(f'coalesce({c}, 0)', c) for c in _GRAPH)}
+ FROM panel LEFT JOIN deg USING (cutoff, actor) LEFT JOIN pr USING (cutoff, actor) LEFT JOIN hub USING (cutoff, actor) LEFT JOIN inf USING (cutoff, actor)""",
+       "panel", "deg", "pr", "hub", "inf"))
+def graph_features_panel(spark, sf) -> DataFrame:
+    """Every graph score of the panel's actors at the row's own cutoff: the graphs of all cutoffs settle in one batch."""
+    s = Shared.of(spark, sf)
+    g = graph.graph_features(lead_graph(s), CUTOFFS)
+    out = pn.attach_graph(s.panel, g, _GRAPH)
+    return big(rounded6(out.select("event_id", "frame_j", "split", *_GRAPH), *_GRAPH), "frame_j")
 
 
 @query("precedence_potential")

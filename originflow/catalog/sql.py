@@ -122,18 +122,19 @@ PIECES["stance"] = ([], f"""stance AS (SELECT doc_id, CAST(CASE WHEN b > a THEN
  SELECT doc_id, regexp_replace(lower(text), {q(f'https?://{NOT_SPACE}+|@{WORD}+')}, ' ', 'g') AS t FROM documents)))""")
 
 
-def compose(final: str, *needs: str, extra: str = "") -> str:
-    """``WITH RECURSIVE`` over the needed pieces and their dependencies, then ``final``."""
+def compose(final: str, *needs: str, extra: str = "", swap: dict[str, tuple[list[str], str]] | None = None) -> str:
+    """``WITH RECURSIVE`` over the needed pieces and their dependencies, then ``final``. ``swap`` replaces pieces by name."""
     order: list[str] = []
+    pieces = PIECES | (swap or {})
 
     def add(name: str) -> None:
         if name in order:
             return
-        for d in PIECES[name][0]:
+        for d in pieces[name][0]:
             add(d)
         order.append(name)
 
     for n in needs:
         add(n)
-    parts = [PIECES[n][1] for n in order] + ([extra] if extra else [])
+    parts = [pieces[n][1] for n in order] + ([extra] if extra else [])
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final

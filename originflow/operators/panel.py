@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from originflow.operators.events import EVENT, assign_block
 from originflow.operators.frames import FRAME
+from originflow.operators.windows import with_windows
 
 
 @dataclass(frozen=True)
@@ -69,17 +70,23 @@ def add_interactions(df: DataFrame) -> DataFrame:
 
 
 def origin_panel(
-    frames: DataFrame, labels: DataFrame, novelty: DataFrame, blocks: list[Block], trait: DataFrame,
+    frames: DataFrame, labels: DataFrame, novelty: DataFrame, blocks: list[Block] | DataFrame, trait: DataFrame,
     meta: DataFrame, hist: DataFrame, shuffled: DataFrame | None = None, stances: DataFrame | None = None,
     stance_key: str = "doc_id", max_rank: int | None = 10,
 ) -> DataFrame:
-    """The point-in-time panel of new frames, from a written frame table and per-cutoff actor state."""
+    """The point-in-time panel of new frames, from a written frame table and per-cutoff actor state.
+
+    ``blocks`` are disjoint day ranges, or a table of ``windows.window_days``, in which a day may belong to several windows;
+    ``novelty`` then has a row per window too.
+    """
     rows = frames.filter("is_new")
     if max_rank is not None:
         rows = rows.filter(F.col("rank") <= max_rank)
-    rows = with_block(rows, blocks)
+    rolling = isinstance(blocks, DataFrame)
+    rows = with_windows(rows, blocks) if rolling else with_block(rows, blocks)
+    tags = ["window", "split", "part", "cutoff"] if rolling else ["block", "split", "cutoff"]
     rows = rows.select(
-        *EVENT, "block", "split", "cutoff", "frame_j", "rank", "k", "actor", "post_id", "followers", "verified",
+        *EVENT, *tags, "frame_j", "rank", "k", "actor", "post_id", "followers", "verified",
         F.log(F.col("rank").cast("double")).alias("log_origin_rank"), "elapsed_hours",
         F.col("frame_j").cast("double").alias("prior_frame_count"),
         (1.0 - F.col("best_sim")).alias("novelty_event"),
@@ -91,7 +98,7 @@ def origin_panel(
     elif "origin_stance" not in rows.columns:
         rows = rows.withColumn("origin_stance", F.lit(0.0))
     rows = rows.withColumn("origin_stance_abs", F.abs("origin_stance"))
-    rows = rows.join(novelty, [*EVENT, "rank"], "left").join(
+    rows = rows.join(novelty, [*EVENT, "rank", *(["window"] if rolling else [])], "left").join(
         labels.select(*FRAME, "future_adopt", "future_reach", "log_future_adopt", "log_future_reach"), FRAME)
     return add_interactions(rows).withColumn(
         "event_id", F.concat_ws(":", "sym", F.col("day").cast("string")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Written:
+    """A table written as Parquet to the shared checkpoint folder: read by column, survives lost executors, deleted by ``drop``."""
+
+    def __init__(self, df: DataFrame, label: str):
+        spark = df.sparkSession
+        self.path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
