@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID, POOL = 2048, 1, 2048
 PUNCTUATION = ".,!$%&#*|?;:()-"
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 
 
 class WordIds:
