@@ -11,7 +11,7 @@ from originflow.catalog.shared import Shared, big, inner_dev, inner_fit, is_trai
 from originflow.catalog.sql import CUTOFFS, MIN_ACTORS, PIECES, compose, r6
 from originflow.functions import features as ft
 from originflow.functions.special import t_sf2
-from originflow.operators import actors, events as evs, frames as fr, graph, metrics as mx, models, panel as pn, resample
+from originflow.operators import actors, boosting, events as evs, frames as fr, graph, metrics as mx, models, panel as pn, resample
 from originflow.operators.events import first_posts, rank_posts
 from originflow.session import cut
 
@@ -137,6 +137,55 @@ def tree_ranker(spark, sf) -> DataFrame:
     return mx.symbol_mean(ev, ["ndcg3", "hit1", "mass3", "js"])
 
 
+_TREE_SET = ft.RATE_SETS["BR_ctx+Ok+rate"]
+TREE_SIZES = [5, 10, 20]  # every level of a tree is a job over the rows: the registered query keeps the trees few
+
+
+def _graded(spark, sf) -> DataFrame:
+    return cut(mx.quantile_grade(graph_panel(Shared.of(spark, sf)), Y, is_train()))
+
+
+@query("listwise_trees")
+def listwise_trees(spark, sf) -> DataFrame:
+    """Listwise boosted trees, their number chosen on the inner split, scored on the test days."""
+    p = _graded(spark, sf)
+    model, size, _ = boosting.select_trees(p, _TREE_SET, "grade", Y, inner_fit(), inner_dev(), is_train(), TREE_SIZES, rate=0.1, depth=3)
+    ev = mx.event_metrics(model.score(p.filter("split = 'test'")), Y, "score", ["event_id", "sym"], ks=(1, 3))
+    return mx.symbol_mean(ev, ["ndcg3", "hit1", "mass3", "js"]).withColumn("n_trees", F.lit(size))
+
+
+@query("listwise_tree_losses", f"SELECT unnest(range(1, {TREE_SIZES[-1] + 1})) AS tree, true AS falls, true AS below_uniform")
+def listwise_tree_losses(spark, sf) -> DataFrame:
+    """The training loss after each tree, grown on all events and features: below the one before and below that of equal scores."""
+    model = boosting.fit_trees(_graded(spark, sf).filter(is_train()), _TREE_SET, "grade", TREE_SIZES[-1], rate=0.1, depth=3, subsample=1.1,
+                               colsample=1.0)
+    rows = [(i, b < a, b < model.losses[0]) for i, (a, b) in enumerate(zip(model.losses, model.losses[1:]), 1)]
+    return spark.createDataFrame(rows, "tree bigint, falls boolean, below_uniform boolean")
+
+
+_SPLITS = """ge AS (SELECT list_sort(list_distinct(quantile_cont(log_future_reach, """ + str([i / 32 for i in range(33)]) + """))) AS e FROM panel WHERE split = 'train'),
+gr AS MATERIALIZED (SELECT event_id, p / sum(p) OVER w AS p, 1.0 / count(*) OVER w AS q, xs FROM (SELECT event_id,
+ exp(least(len(list_filter(e[2:len(e)-1], lambda x: x <= log_future_reach)), greatest(1, len(e) - 2))) AS p, [""" + ", ".join(
+    f"CAST({'coalesce(g_net_rate, 0)' if f == 'g_net_rate' else f} AS DOUBLE)" for f in _TREE_SET) + """] AS xs
+ FROM panel LEFT JOIN deg USING (cutoff, actor), ge WHERE split = 'train') WINDOW w AS (PARTITION BY event_id)),
+fx AS MATERIALIZED (SELECT unnest(xs) AS x, unnest(range(len(xs))) AS i, q - p AS g, q * (1 - q) AS h FROM gr),
+be AS (SELECT i, unnest(list_distinct(quantile_cont(x, """ + str([i / 32 for i in range(1, 32)]) + """))) AS edge FROM fx GROUP BY i),
+tot AS (SELECT i, sum(g) AS g, sum(h) AS h, count(*) AS n FROM fx GROUP BY i),
+cand AS (SELECT be.i, edge, sum(fx.g) AS gl, sum(fx.h) AS hl, count(*) AS nl FROM be JOIN fx ON fx.i = be.i AND (x <= edge OR x IS NULL) GROUP BY be.i, edge
+ UNION ALL SELECT i, CAST('-infinity' AS DOUBLE), sum(g), sum(h), count(*) FROM fx WHERE x IS NULL GROUP BY i),
+gained AS (SELECT i, nl, gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1) AS gain FROM cand JOIN tot USING (i) WHERE nl >= 20 AND n - nl >= 20),
+top AS (SELECT i, max(gain) AS gain, min(nl) FILTER (gain > best - 1e-9) AS nl FROM (SELECT *, max(gain) OVER (PARTITION BY i) AS best FROM gained) GROUP BY i)"""
+
+
+@query("listwise_first_split", compose("SELECT f AS feature, " + r6("CASE WHEN gain > 1e-12 THEN gain ELSE 0 END", "gain")
+       + ", CAST(CASE WHEN gain > 1e-12 THEN nl ELSE 0 END AS BIGINT) AS n_left FROM (SELECT unnest(" + str(_TREE_SET) + ") AS f, unnest(range("
+       + str(len(_TREE_SET)) + ")) AS i) LEFT JOIN top USING (i)", "panel", "deg", extra=_SPLITS))
+def listwise_first_split(spark, sf) -> DataFrame:
+    """Gain and rows left of each feature's best first split: the histograms of the first level, which a query can state."""
+    rows = boosting.root_splits(_graded(spark, sf).filter(is_train()), _TREE_SET, "grade")
+    return rounded6(spark.createDataFrame(rows, "feature string, gain double, n_left bigint"), "gain")
+
+
 _OLS = """zz AS (SELECT event_id, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, log_future_reach - avg(log_future_reach) OVER w AS y FROM (
  SELECT event_id, log_future_reach, (origin_ol - ma) / (sa + 1e-12) AS a, (log_origin_rank - mb) / (sb + 1e-12) AS b FROM panel,
  (SELECT avg(origin_ol) AS ma, stddev_pop(origin_ol) AS sa, avg(log_origin_rank) AS mb, stddev_pop(log_origin_rank) AS sb FROM panel WHERE split = 'train') WHERE split = 'test')
