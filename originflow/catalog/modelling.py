@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from originflow.catalog import solve
 from originflow.catalog.ranking import events as method_events
 from originflow.catalog.registry import query
 from originflow.catalog.shared import Shared, big, inner_dev, inner_fit, is_train, rounded6
-from originflow.catalog.sql import CUTOFFS, MIN_ACTORS, PIECES, compose, r6
+from originflow.catalog.sql import CUTOFFS, INNER, MIN_ACTORS, PIECES, compose, r6
 from originflow.functions import features as ft
 from originflow.functions.special import t_sf2
 from originflow.operators import actors, boosting, events as evs, frames as fr, graph, metrics as mx, models, panel as pn, resample
@@ -64,10 +65,26 @@ def ridge_two_features(spark, sf) -> DataFrame:
     return big(rounded6(p.select("event_id", "frame_j", m.column().alias("score")), "score"), "frame_j")
 
 
-@query("ridge_parameters")
+_LINEAR = sorted({f for sets in (ft.ABLATION_SETS, ft.ORIGIN_SETS) for fs in sets.values() for f in fs})
+
+
+def _rows(fit: str, names: list[str] = _LINEAR, where: str = "TRUE") -> str:
+    return f"SELECT 'main' AS win, {fit} AS fit, event_id, sym, frame_j, {Y} AS y, {solve.features(names)} AS xs FROM panel WHERE {where}"
+
+
+_TRAIN = "split = 'train'"
+_INNER = f"split = 'train' AND day < DATE '{INNER}'"
+_PARAMETERS = ",\n".join([solve.moments("mo", _rows(_TRAIN), "add"), solve.solved("pa", "mo", solve.sets_values({"f": ft.ORIGIN_SETS["ol_origin"]}, _LINEAR))])
+
+
+@query("ridge_parameters", compose("SELECT '(intercept)' AS feature, " + r6("max(ym)", "coef_std") + ", CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS mean, "
+       "CAST(NULL AS DOUBLE) AS sd, " + r6("max(ym) - sum(b / sd * mu)", "coef_raw") + " FROM pab JOIN mos USING (win, i) JOIN moy USING (win) UNION ALL SELECT "
+       f"{_LINEAR!r}[i + 1], " + ", ".join([r6("b", "coef_std"), r6("med", "median"), r6("mu", "mean"), r6("sd", "sd"), r6("b / sd", "coef_raw")])
+       + " FROM pab JOIN mos USING (win, i)", "panel", extra=_PARAMETERS))
 def ridge_parameters(spark, sf) -> DataFrame:
     m = models.ridge_sets(Shared.of(spark, sf).panel, {"f": ft.ORIGIN_SETS["ol_origin"]}, Y, is_train())
-    return spark.createDataFrame(m["f"].parameters() if m else [], models.PARAMETER_SCHEMA)
+    out = spark.createDataFrame(m["f"].parameters() if m else [], models.PARAMETER_SCHEMA)
+    return rounded6(out, "coef_std", "median", "mean", "sd", "coef_raw")
 
 
 def _set_means(p: DataFrame, sets: dict[str, models.Linear]) -> DataFrame:
@@ -75,26 +92,48 @@ def _set_means(p: DataFrame, sets: dict[str, models.Linear]) -> DataFrame:
     return mx.symbol_mean(mx.event_metrics(scored, Y, "score", ["method", "event_id", "sym"], ks=(1, 3)), ["ndcg3", "hit1", "mass3", "js"], ["method"])
 
 
-@query("ridge_ablation")
+@query("ridge_ablation", compose(f"SELECT {solve.TABLE} FROM abt", "panel", extra=",\n".join([
+    solve.moments("mo", _rows(_TRAIN), "add"), solve.solved("ab", "mo", solve.sets_values(ft.ABLATION_SETS, _LINEAR)), solve.scores("ab", "mo", "NOT fit"),
+    solve.metric_table("ab")])))
 def ridge_ablation(spark, sf) -> DataFrame:
     """Six feature sets from one cross-product pass, scored and evaluated in one job."""
     p = Shared.of(spark, sf).panel
-    return _set_means(p, models.ridge_sets(p, ft.ABLATION_SETS, Y, is_train()))
+    return rounded6(_set_means(p, models.ridge_sets(p, ft.ABLATION_SETS, Y, is_train())), *solve.METRICS)
+
 
+# every penalty of every set on the held-out training days, then the chosen penalty on all training days
+_GRID = f"(SELECT t.method AS name, t.method || '|' || CAST(a AS VARCHAR) AS method, ix, a AS alpha FROM {solve.sets_values(ft.ORIGIN_SETS, _LINEAR)} t, (SELECT unnest({ALPHAS!r}) AS a) u)"
+_SELECT = ",\n".join([
+    solve.moments("mi", _rows(_INNER, where=_TRAIN), "strict"), solve.solved("in_", "mi", _GRID), solve.scores("in_", "mi", "NOT fit"), solve.metric_table("in_"),
+    f"best AS MATERIALIZED (SELECT name AS method, ix, alpha FROM {_GRID} g JOIN in_t USING (method) QUALIFY row_number() OVER (PARTITION BY name ORDER BY ndcg3 DESC, alpha DESC) = 1)",
+    solve.moments("mo", _rows(_TRAIN), "strict"), solve.solved("fi_", "mo", "(SELECT method, ix, alpha FROM best)"), solve.scores("fi_", "mo", "NOT fit"),
+    solve.metric_table("fi_")])
 
-@query("ridge_select")
+
+@query("ridge_select", compose(f"SELECT {solve.TABLE} FROM fi_t", "panel", extra=_SELECT))
 def ridge_select(spark, sf) -> DataFrame:
     p = Shared.of(spark, sf).panel
     found, search = models.ridge_select(p, ft.ORIGIN_SETS, Y, inner_fit(), inner_dev(), is_train(), ALPHAS)
-    return _set_means(p, found)
+    return rounded6(_set_means(p, found), *solve.METRICS)
+
 
+# generalised cross-validation: residual sum from the solution, degrees of freedom from the trace of the inverse
+_GCV = ",\n".join([
+    solve.moments("mo", _rows(_TRAIN), "strict"),
+    solve.solved("gc", "mo", f"(SELECT CAST(a AS VARCHAR) AS method, ix, a AS alpha FROM {solve.sets_values({'f': ft.ORIGIN_SETS['ol_origin']}, _LINEAR)} t, "
+                             f"(SELECT unnest({VECTOR_ALPHAS!r}) AS a) u)", inverse=True),
+    """gq AS (SELECT x.method, sum(x.b * y.b * g) AS q FROM gcb x JOIN gcb y USING (win, method) JOIN mog ON mog.win = x.win AND mog.i = x.i AND mog.j = y.i GROUP BY x.method),
+gv AS (SELECT method, max(alpha) AS alpha, (max(yy) - 2 * sum(b * r) + max(q)) / greatest(max(n) - (1 + count(*) - max(alpha) * sum(a)), 1e-9) ** 2 AS gcv
+ FROM gcb JOIN mor USING (win, i) JOIN moy USING (win) JOIN gq USING (method) GROUP BY method),
+gw AS (SELECT method, alpha FROM gv ORDER BY gcv, alpha LIMIT 1)""", solve.scores("gc", "mo", "TRUE")])
 
-@query("ridge_gcv")
+
+@query("ridge_gcv", compose("SELECT event_id, CAST(frame_j AS BIGINT) AS frame_j, " + r6("s", "score") + ", alpha FROM gcp JOIN gw USING (method)", "panel", extra=_GCV))
 def ridge_gcv(spark, sf) -> DataFrame:
     p = Shared.of(spark, sf).panel
     mom = models.moments(p, ft.ORIGIN_SETS["ol_origin"], [Y], is_train())
-    m, alpha = models.solve_ridge_gcv(mom, ft.ORIGIN_SETS["ol_origin"], Y, [0.1, 1.0, 10.0, 100.0, 1000.0])
-    return p.select("event_id", "frame_j", m.column().alias("score")).withColumn("alpha", F.lit(alpha))
+    m, alpha = models.solve_ridge_gcv(mom, ft.ORIGIN_SETS["ol_origin"], Y, VECTOR_ALPHAS)
+    return big(rounded6(p.select("event_id", "frame_j", m.column().alias("score")), "score"), "frame_j").withColumn("alpha", F.lit(alpha))
 
 
 def _with_vectors(s: Shared) -> DataFrame:
@@ -102,11 +141,25 @@ def _with_vectors(s: Shared) -> DataFrame:
     return s.panel.withColumn("vec_id", F.col("post_id") % n_vec).join(s.vectors, "vec_id")
 
 
-@query("vector_ridge")
+def _vector_rows(fit: str, where: str) -> str:
+    return f"SELECT 'main' AS win, {fit} AS fit, event_id, sym, frame_j, {Y} AS y, v AS xs FROM panel JOIN vec USING (vec_id) WHERE {where}"
+
+
+_DIM = f"(SELECT CAST(a AS VARCHAR) AS method, range(0, (SELECT max(len(v)) FROM vec)) AS ix, a AS alpha FROM (SELECT unnest({VECTOR_ALPHAS!r}) AS a))"
+_VECTOR = ",\n".join([
+    solve.moments("vi", _vector_rows(_INNER, _TRAIN), "loose", impute=False), solve.solved("vs", "vi", _DIM), solve.scores("vs", "vi", "NOT fit"),
+    solve.metric_table("vs"),
+    f"vbest AS MATERIALIZED (SELECT method, ix, alpha FROM {_DIM} d JOIN vst USING (method) ORDER BY ndcg3 DESC, alpha DESC LIMIT 1)",
+    solve.moments("vo", _vector_rows(_TRAIN, "TRUE"), "loose", impute=False), solve.solved("vf", "vo", "(SELECT method, ix, alpha FROM vbest)"),
+    solve.scores("vf", "vo", "TRUE")])
+
+
+@query("vector_ridge", compose("SELECT event_id, CAST(frame_j AS BIGINT) AS frame_j, " + r6("s", "score") + ", alpha FROM vfp, (SELECT max(alpha) AS alpha FROM vbest)",
+                               "panel", "vec", extra=_VECTOR))
 def vector_ridge(spark, sf) -> DataFrame:
     s = Shared.of(spark, sf)
     scored, alpha = models.vector_ridge_select(_with_vectors(s), "emb", Y, inner_fit(), inner_dev(), is_train(), VECTOR_ALPHAS)
-    return scored.select("event_id", "frame_j", "score").withColumn("alpha", F.lit(alpha))
+    return big(rounded6(scored.select("event_id", "frame_j", "score"), "score"), "frame_j").withColumn("alpha", F.lit(alpha))
 
 
 @query("residual_plugin")

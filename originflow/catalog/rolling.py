@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from originflow.catalog import solve
 from originflow.catalog.registry import query
 from originflow.catalog.shared import Shared, big, rounded6
 from originflow.catalog.sql import MIN_ACTORS, PIECES, THR, compose, r6
@@ -27,7 +28,7 @@ REGISTRIES = {"origin": ft.ABLATION_SETS, "graph": ft.GRAPH_SETS, "rate": ft.RAT
               "shuffled": {"A_context": ft.CONTEXT, "B_ctx+Ok": [*ft.CONTEXT, "origin_ol"],
                            "BG_ctx+Ok+graph": ft.GRAPH_SETS["BG_ctx+Ok+graph"], "BS_ctx+Ok+shufgraph": [*ft.CONTEXT, "origin_ol", *SHUFFLED_GRAPH]}}
 SETS = {f"{r}:{k}": fs for r, sets in REGISTRIES.items() for k, fs in sets.items()}
-METRICS = ["ndcg3", "hit1", "mass3", "js"]
+METRICS = solve.METRICS
 
 
 def build(s: Shared) -> DataFrame:
@@ -87,38 +88,9 @@ sgs AS (SELECT a.cutoff, a.actor, {', '.join(f'b.{c} AS s{c}' for c in ft.GRAPH)
 rolling AS MATERIALIZED (SELECT p.*, {', '.join(f'coalesce(g.{c}, 0) AS {c}' for c in GRAPH_COLUMNS)}, {', '.join(f'coalesce(s{c}, 0) AS s{c}' for c in ft.GRAPH)},
  {_relational('origin_ol', 'ol')}, {_relational('origin_ol_shuffled', 'sh')}
  FROM panel p LEFT JOIN gs g USING (cutoff, actor) LEFT JOIN sgs USING (cutoff, actor))""")
-PIECES["solved"] = (["rolling"], f"""names AS (SELECT unnest([{', '.join(repr(f) for f in _FEATURES)}]) AS f, unnest(range({len(_FEATURES)})) AS i),
-sets AS (SELECT * FROM (VALUES {', '.join(f"('{k}', [{', '.join(str(_FEATURES.index(f)) for f in fs)}])" for k, fs in SETS.items())}) t(method, ix)),
-long0 AS MATERIALIZED (SELECT win, split, event_id, sym, frame_j, {Y} AS y, unnest([{', '.join(f'CAST({f} AS DOUBLE)' for f in _FEATURES)}]) AS v, unnest(range({len(_FEATURES)})) AS i FROM rolling),
-filled AS MATERIALIZED (SELECT l.* EXCLUDE v, coalesce(v, med, 0) AS v FROM long0 l LEFT JOIN (SELECT win, i, median(v) AS med FROM long0 WHERE split = 'train' GROUP BY win, i) USING (win, i)),
-z AS MATERIALIZED (SELECT f.* EXCLUDE v, (v - mu) / (sd + 1e-12) AS z FROM filled f JOIN (SELECT win, i, avg(v) AS mu, stddev_pop(v) AS sd FROM filled WHERE split = 'train' GROUP BY win, i) USING (win, i)),
-ym AS (SELECT win, avg(y) AS ym FROM rolling_y GROUP BY win),
-gram AS MATERIALIZED (SELECT a.win, a.i, b.i AS j, sum(a.z * b.z) AS g FROM z a JOIN z b USING (win, event_id, frame_j) WHERE a.split = 'train' AND b.split = 'train' GROUP BY a.win, a.i, b.i),
-rhs AS MATERIALIZED (SELECT win, i, sum(z * (y - ym)) AS r FROM z JOIN ym USING (win) WHERE split = 'train' GROUP BY win, i),
-cells AS (SELECT win, method, a, ia, unnest(ix) AS ib, generate_subscripts(ix, 1) AS b FROM (
- SELECT win, method, ix, unnest(ix) AS ia, generate_subscripts(ix, 1) AS a FROM sets, ym)),
-lines AS (SELECT win, method, a, list_append(list(g + CASE WHEN a = b THEN 3 ELSE 0 END ORDER BY b), max(r)) AS line
- FROM cells JOIN gram ON gram.win = cells.win AND gram.i = ia AND gram.j = ib JOIN rhs ON rhs.win = cells.win AND rhs.i = ia GROUP BY cells.win AS win, method, a),
-elim AS (SELECT win, method, 1 AS k, list(line ORDER BY a) AS m FROM lines GROUP BY win, method
- UNION ALL SELECT win, method, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(m[k], lambda x: x / m[k][k])
-  ELSE list_transform(list_zip(r, m[k]), lambda q: q[1] - r[k] / m[k][k] * q[2]) END) FROM elim WHERE k <= len(m)),
-beta AS (SELECT win, method, unnest(list_transform(m, lambda r: r[len(r)])) AS b, unnest(ix) AS i FROM elim JOIN sets USING (method) WHERE k = len(m) + 1),
-rsc AS MATERIALIZED (SELECT win, method, event_id, sym, frame_j, max(y) AS y, max(ym) + sum(b * z) AS s FROM z JOIN beta USING (win, i) JOIN ym USING (win) WHERE split = 'test' GROUP BY ALL)""".replace(
-    "ym AS (SELECT win, avg(y) AS ym FROM rolling_y GROUP BY win)", f"ym AS MATERIALIZED (SELECT win, avg({Y}) AS ym FROM rolling WHERE split = 'train' GROUP BY win)").replace(
-    "GROUP BY cells.win AS win, method, a", "GROUP BY ALL").replace("lines AS (SELECT win,", "lines AS (SELECT cells.win,"))
-_HALF = lambda a, b: f"CASE WHEN {a} > 0 THEN 0.5 * {a} * ln({a} / greatest(({a} + {b}) * 0.5, 1e-12)) ELSE 0 END"
-PIECES["rem"] = (["solved"], f"""rem0 AS (SELECT *, count(*) OVER w AS n, max(y) OVER w AS ymax, sum(y) OVER w AS ysum, max(s) OVER w AS smax,
- row_number() OVER (PARTITION BY win, method, event_id ORDER BY s DESC, frame_j) AS rs, row_number() OVER (PARTITION BY win, method, event_id ORDER BY y DESC, frame_j) AS ry
- FROM rsc WINDOW w AS (PARTITION BY win, method, event_id)),
-rem1 AS (SELECT *, y / greatest(ysum, 1e-12) AS p, e / greatest(sum(e) OVER (PARTITION BY win, method, event_id), 1e-12) AS q FROM (
- SELECT *, exp(greatest(s - smax, -50)) AS e FROM rem0 WHERE n >= 2 AND ymax > 0)),
-rem AS MATERIALIZED (SELECT win, method, event_id, sym,
- sum(CASE WHEN rs <= 3 THEN y / log2(rs + 1) ELSE 0 END) / greatest(sum(CASE WHEN ry <= 3 THEN y / log2(ry + 1) ELSE 0 END), 1e-12) AS ndcg3,
- max(CASE WHEN rs <= 1 AND y = ymax THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hit1, sum(CASE WHEN rs <= 3 THEN y ELSE 0 END) / greatest(max(ysum), 1e-12) AS mass3,
- sum({_HALF('p', 'q')} + {_HALF('q', 'p')}) AS js FROM rem1 GROUP BY win, method, event_id, sym),
-rtab AS (SELECT win, method, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_symbols, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM (
- SELECT win, method, sym, count(*) AS n, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM (SELECT * FROM rem UNION ALL SELECT * REPLACE ('pooled' AS win) FROM rem)
- GROUP BY win, method, sym) GROUP BY win, method)""")
+PIECES["rem"] = (["rolling"], ",\n".join([
+    solve.moments("ro", f"SELECT win, split = 'train' AS fit, event_id, sym, frame_j, {Y} AS y, {solve.features(_FEATURES)} AS xs FROM rolling", "add"),
+    solve.solved("rs", "ro", solve.sets_values(SETS, _FEATURES)), solve.scores("rs", "ro", "NOT fit"), solve.metric_table("rs", pooled=True)]))
 
 
 @query("rolling_panel", compose(f"SELECT win AS window, split, event_id, CAST(frame_j AS BIGINT) AS frame_j, {', '.join(r6(c, c) for c in [*_FEATURES, Y])} FROM rolling",
@@ -139,7 +111,7 @@ def events(s: Shared) -> DataFrame:
 def _table(name: str, registry: str | None):
     where = f"WHERE starts_with(method, '{registry}:')" if registry else ""
 
-    @query(name, compose(f"SELECT win AS window, method, n_events, n_symbols, {', '.join(r6(m, m) for m in METRICS)} FROM rtab {where}", "rem", swap=_SWAP))
+    @query(name, compose(f"SELECT win AS window, {solve.TABLE} FROM rst {where}", "rem", swap=_SWAP))
     def table(spark, sf) -> DataFrame:
         e = events(Shared.of(spark, sf))
         if registry:
