@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from originflow.operators.ordered import attach_group, exact_quantiles, running, with_value_bucket
+from originflow.operators.ordered import attach_group, exact_quantiles, range_blocks, running, with_value_bucket
 
 TINY = 1e-12
 INF = float("inf")
@@ -147,16 +147,16 @@ def auc_ap(df: DataFrame, y: str, score: str, keys: list[str] = []) -> DataFrame
 
 
 def ranked_rows(df: DataFrame, score: str, tie: list[str], keys: list[str] = []) -> DataFrame:
-    """Add ``pos``, the 1-based place by score (high first, then ``tie``) in each whole group."""
-    d = with_value_bucket(df, score).withColumn("_b", -F.col("_b"))
+    """Add ``pos``, the 1-based place by score (high first, then ``tie``) in each whole group, also where very many scores tie."""
+    d = range_blocks(df, [*keys, F.desc(score), *tie])
     return running(d, keys, "_b", [F.desc(score), *tie], {"pos": ("count", F.lit(1))}, inclusive=True).drop("_b")
 
 
 def average_precision_rows(df: DataFrame, y: str, score: str, tie: list[str], keys: list[str] = []) -> DataFrame:
     """Average precision walking rows one by one: tied scores follow ``tie``."""
-    d = df.filter(finite(score)).withColumn("_y", F.col(y).cast("double"))
-    d = with_value_bucket(d, score).withColumn("_b", -F.col("_b"))
-    d = running(d, keys, "_b", [F.desc(score), *tie],
+    d = df.filter(finite(score)).select(*keys, F.col(score).alias("_s"), *tie, F.col(y).cast("double").alias("_y"))
+    d = range_blocks(d, [*keys, F.desc("_s"), *tie])
+    d = running(d, keys, "_b", [F.desc("_s"), *tie],
                 {"_c": ("count", F.lit(1)), "_h": ("sum", F.col("_y"))}, inclusive=True)
     return d.groupBy(*keys).agg(
         (F.sum(F.col("_y") * F.col("_h") / F.col("_c")) / F.when(F.sum("_y") > 0, F.sum("_y"))).alias("ap"))

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from originflow.session import Written
+
 BLOCK = 4096
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 65_536, 64, 4096
 
 _COMBINE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 _LOCAL = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
@@ -77,22 +80,50 @@ def attach_group(
     return df.withColumn("_blk", block_of(ordinal, block)).join(stats, [*keys, "_blk"]).drop("_blk")
 
 
-def with_value_bucket(df: DataFrame, value: str, name: str = "_b", n: int = 64) -> DataFrame:
+def value_edges(df: DataFrame, value: str, n: int | None = None) -> list[float]:
+    """Distinct approximate quantiles of a column, ``n - 1`` at most.
+
+    Without ``n`` their number follows the rows, from ``LEAST_BUCKETS`` to ``MOST_BUCKETS`` buckets of about ``BUCKET_ROWS`` rows.
+    One aggregate with map-side sketches; at most ``MOST_BUCKETS`` numbers reach the driver.
+    """
+    most = n or MOST_BUCKETS
+    probs = [i / most for i in range(1, most)]
+    rows, edges = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).agg(
+        F.count("v"), F.percentile_approx("v", probs, max(2000, 4 * most))).first()
+    if n is None:
+        step = MOST_BUCKETS // min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
+        edges = (edges or [])[step - 1::step]
+    return sorted(set(edges or []))
+
+
+def with_value_bucket(df: DataFrame, value: str, name: str = "_b", n: int | None = None) -> DataFrame:
     """Add a bucket number that is monotone in ``value``; edges are approximate quantiles of the column.
 
-    Odd buckets hold exactly one value (an edge), even ones the values between two edges, so a value
-    with more than 1/n of the rows has a bucket of its own. The edges are one row of ``n - 1``
-    numbers, read through a scalar subquery. They only balance the work: results that use the
-    buckets are exact whatever the edges are.
+    Odd buckets hold exactly one value (an edge), even ones the values between two edges, so a value with more rows than a
+    bucket should have gets a bucket of its own. Edges only balance the work: results that use the buckets are exact whatever
+    the edges are. A row finds its place by binary search, in built-in functions.
     """
-    probs = [i / n for i in range(1, n)]
-    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, max(2000, 4 * n))).scalar()
+    edges = value_edges(df, value, n)
     v = F.col(value).cast("double")
-    # the place a value takes in the sorted edges: built-in array functions, no lambda per edge
-    place = F.array_position(F.sort_array(F.array_append("_edges", v)), v)
-    bucket = 2 * place + F.array_contains("_edges", v).cast("int")
-    d = df.withColumn("_edges", F.array_distinct(edges))
-    return d.withColumn(name, F.coalesce(bucket, F.lit(0)).cast("int")).drop("_edges")
+    if not edges:
+        return df.withColumn(name, F.when(v.isNotNull(), 2).otherwise(0).cast("int"))
+    sorted_edges = F.array(*[F.lit(e) for e in edges])
+    steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
+    below = F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, k: F.when(  # edges below v; get is null beyond the last
+        F.get(sorted_edges, at + k - 1) < v, at + k).otherwise(at))
+    d = df.withColumn("_below", below)
+    same = F.coalesce(F.get(sorted_edges, F.col("_below")) == v, F.lit(False)).cast("int")
+    return d.withColumn(name, F.when(v.isNotNull(), 2 * (F.col("_below") + 1) + same).otherwise(0).cast("int")).drop("_below")
+
+
+def range_blocks(df: DataFrame, order: list, name: str = "_b", rows: int | None = None) -> DataFrame:
+    """Add a block number that rises along ``order``, with about ``rows`` (``BUCKET_ROWS``) rows a block, whatever the values are.
+
+    Rows are range-partitioned by all columns of ``order``, so that rows with equal leading values are split by those behind.
+    The blocks are written: a second sampling pass could cut elsewhere.
+    """
+    parts = max(1, -(-df.count() // (rows or BUCKET_ROWS)))
+    return Written(df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "range-blocks").df
 
 
 def exact_quantiles(
