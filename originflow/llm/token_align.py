@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from originflow.llm.common import Staged
 
 SLICE_BYTES = 2 << 20  # text tokenized at once
+LINKS_AT_ONCE = 1 << 18  # links looked up at once
 FIRST_PROBE, LAST_PROBE = 16, 4096  # tokens that the first and the longest probe of a stretch compare
 OLD_SCRIPTS = 0x0530  # below, character classes are the same in every Unicode version in use
 KNOWN_PAIRS = 2_000_000  # pairs broadcast with their counts at most; rarer pairs are joined
@@ -131,11 +132,12 @@ def _load(kind, path):
     return _LOADED[kind, path]
 
 
-def _slices(texts: pa.Array):
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+def _parts(sizes: pa.Array, most: int):
+    """Consecutive ranges of rows whose sizes add up to about ``most``, or single rows."""
+    total = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))
     at = 0
-    while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES)))
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most)))
         yield at, end
         at = end
 
@@ -174,7 +176,7 @@ def _align_of(path_a: str, path_b: str, keep: bool):
         group_text = GroupText(va, vb)
         ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
         for batch in batches:
-            for lo, hi in _slices(batch.column(1)):
+            for lo, hi in _parts(pc.binary_length(batch.column(1)), SLICE_BYTES):
                 ids = batch.column(0).slice(lo, hi - lo)
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 full = [k for k, t in enumerate(texts) if t]
@@ -247,18 +249,21 @@ def _look_up_of(sent, whole: bool):
     """Adds up the counts of each row's links; ``rest`` has the links that are not among the broadcast pairs."""
     def run(batches):
         table = PairTable(*sent.value)
-        for b in batches:
-            links = b.column("links")
-            flat, ends = links.flatten().to_numpy(), np.cumsum(pc.list_value_length(links).to_numpy())
-            hit, n, top = table.find(flat)
-            sums = [np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x)])[ends]])) for x in (top.astype(np.int64), n)]
-            cols = [b.column(k) for k in ("row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")] + [pa.array(s, pa.int64()) for s in sums]
-            names = ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_best", "count_sum"]
-            if not whole:
-                miss = np.concatenate([[0], np.cumsum(~hit)])[np.concatenate([[0], ends])].astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(miss, pa.int32()), pa.array(flat[~hit], pa.int64())))
-                names.append("rest")
-            yield pa.RecordBatch.from_arrays(cols, names)
+        for batch in batches:
+            for lo, hi in _parts(pc.list_value_length(batch.column("links")), LINKS_AT_ONCE):
+                b = batch.slice(lo, hi - lo)
+                links = b.column("links")
+                flat, ends = links.flatten().to_numpy().astype(np.int64), np.cumsum(pc.list_value_length(links).to_numpy())
+                hit, n, top = table.find(flat)
+                sums = [np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x)])[ends]])) for x in (top.astype(np.int64), n)]
+                names = ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
+                cols = [b.column(k) for k in names] + [pa.array(s, pa.int64()) for s in sums]
+                names = [*names, "n_best", "count_sum"]
+                if not whole:
+                    miss = np.concatenate([[0], np.cumsum(~hit)])[np.concatenate([[0], ends])].astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(miss, pa.int32()), pa.array(flat[~hit], pa.int64())))
+                    names.append("rest")
+                yield pa.RecordBatch.from_arrays(cols, names)
     return run
 
 
