@@ -162,12 +162,27 @@ def vector_ridge(spark, sf) -> DataFrame:
     return big(rounded6(scored.select("event_id", "frame_j", "score"), "score"), "frame_j").withColumn("alpha", F.lit(alpha))
 
 
-@query("residual_plugin")
+_BASE = "(SELECT method, ix, alpha FROM vbest)"
+_RESID = lambda fit, base, where: f"""SELECT 'main' AS win, {fit} AS fit, event_id, panel.sym, frame_j, {Y} - b.s AS y, {solve.features(ft.CONTEXT)} AS xs
+ FROM panel JOIN {base} b USING (event_id, frame_j) WHERE {where}"""
+_CONTEXT = f"(SELECT CAST(a AS VARCHAR) AS method, range(0, {len(ft.CONTEXT)}) AS ix, a AS alpha FROM (SELECT unnest({VECTOR_ALPHAS!r}) AS a))"
+_RESIDUAL = ",\n".join([
+    _VECTOR, solve.solved("rb", "vi", _BASE), solve.scores("rb", "vi", "TRUE"),  # the inner base on all training rows
+    solve.moments("ri", _RESID(_INNER, "rbp", _TRAIN), "loose"), solve.solved("rr", "ri", _CONTEXT), solve.scores("rr", "ri", "NOT fit"),
+    f"""rgp AS MATERIALIZED (SELECT 'main' AS win, r.method || '|' || CAST(l AS VARCHAR) AS method, event_id, sym, frame_j, b.y, b.s + l * r.s AS s
+ FROM rrp r JOIN (SELECT event_id, frame_j, y, s FROM rbp) b USING (event_id, frame_j), (SELECT unnest({LAMBDAS!r}) AS l))""", solve.metric_table("rg"),
+    f"""rbest AS MATERIALIZED (SELECT c.method, ix, alpha, l FROM {_CONTEXT} c, (SELECT unnest({LAMBDAS!r}) AS l) JOIN rgt g ON TRUE
+ WHERE g.method = c.method || '|' || CAST(l AS VARCHAR) ORDER BY round(ndcg3, 12) DESC, alpha DESC, l DESC LIMIT 1)""",
+    solve.moments("rz", _RESID(_TRAIN, "vfp", "TRUE"), "loose"), solve.solved("rw", "rz", "(SELECT method, ix, alpha FROM rbest)"), solve.scores("rw", "rz", "TRUE")])
+
+
+@query("residual_plugin", compose("SELECT event_id, CAST(frame_j AS BIGINT) AS frame_j, " + r6("b.s", "base_score") + ", " + r6("b.s + l * w.s", "score")
+       + " FROM vfp b JOIN (SELECT event_id, frame_j, s FROM rwp) w USING (event_id, frame_j), rbest", "panel", "vec", extra=_RESIDUAL))
 def residual_plugin(spark, sf) -> DataFrame:
     s = Shared.of(spark, sf)
     out, _ = models.residual_plugin(_with_vectors(s), "emb", ft.CONTEXT, Y, inner_fit(), inner_dev(), is_train(),
                                     VECTOR_ALPHAS, LAMBDAS)
-    return out.select("event_id", "frame_j", "base_score", "score")
+    return big(rounded6(out.select("event_id", "frame_j", "base_score", "score"), "base_score", "score"), "frame_j")
 
 
 def graph_panel(s: Shared) -> DataFrame:
@@ -360,10 +375,24 @@ def graph_features_panel(spark, sf) -> DataFrame:
     return big(rounded6(out.select("event_id", "frame_j", "split", *_GRAPH), *_GRAPH), "frame_j")
 
 
-@query("precedence_potential")
+# the Laplacian of the comparisons with one actor grounded, solved by elimination, then centred
+_POTENTIAL = f"""pk AS MATERIALIZED (SELECT * FROM gk WHERE {_LAST}),
+pn AS MATERIALIZED (SELECT actor, row_number() OVER (ORDER BY actor) AS p, count(*) OVER () AS n, CAST(sum(k - 1) AS DOUBLE) AS d,
+ CAST(sum(rank - 1) - sum(k - rank) AS DOUBLE) AS r FROM pk GROUP BY actor),
+pc AS (SELECT a.actor AS x, b.actor AS y, -CAST(count(*) AS DOUBLE) AS c FROM pk a JOIN pk b USING (sym, day) WHERE a.actor <> b.actor GROUP BY 1, 2),
+pl AS (SELECT a.p, list_append(list(CASE WHEN a.p = b.p THEN a.d ELSE coalesce(c, 0) END ORDER BY b.p), max(a.r)) AS line
+ FROM pn a JOIN pn b ON a.p < a.n AND b.p < b.n LEFT JOIN pc ON x = a.actor AND y = b.actor GROUP BY a.p),
+pe AS (SELECT 1 AS k, list(line ORDER BY p) AS m FROM pl
+ UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(m[k], lambda x: x / m[k][k])
+  ELSE list_transform(list_zip(r, m[k]), lambda q: q[1] - r[k] / m[k][k] * q[2]) END) FROM pe WHERE k <= len(m)),
+px AS (SELECT actor, CASE WHEN p < n THEN m[p][n] ELSE 0 END AS s FROM pn, (SELECT m FROM pe WHERE k = len(m) + 1))"""
+
+
+@query("precedence_potential", compose("SELECT actor, " + r6("s - avg(s) OVER ()", "potential") + ", " + r6("avg(s) OVER () - s", "leadership")
+                                       + " FROM px", "edges", extra=_POTENTIAL))
 def precedence_potential(spark, sf) -> DataFrame:
     out, _ = graph.precedence_potential(lead_graph(Shared.of(spark, sf)))
-    return out
+    return rounded6(out.select("actor", "potential", "leadership"), "potential", "leadership")
 
 
 @query("random_walks")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from originflow.catalog import solve
 from originflow.catalog.registry import query
 from originflow.catalog.shared import Shared, big, is_train, rounded6
 from originflow.catalog.sql import PIECES, compose, r6
@@ -76,6 +77,26 @@ def event_distribution(spark, sf) -> DataFrame:
 
 
 _M4 = ["ndcg3", "hit1", "mass3", "js"]
+ORIGIN_WINDOWS = {"first3": 3, "first5": 5, "first10": 10, "all": None}
+_EVERY_RANK = {k: (PIECES[k][0], PIECES[k][1].replace(" AND rank <= 10", "")) for k in ("nov", "panel")}
+_WINDOW_SQL = "owp AS (" + " UNION ALL ".join(
+    f"SELECT '{w}' AS win, '{m}' AS method, event_id, sym, frame_j, log_future_reach AS y, {_SQL_SCORE.get(c, c)} AS s FROM panel "
+    f"WHERE split = 'test' AND {_SQL_SCORE.get(c, c)} IS NOT NULL{f' AND rank <= {n}' if n else ''}"
+    for w, n in ORIGIN_WINDOWS.items() for m, c in METHODS.items()) + "), " + solve.metric_table("ow")
+
+
+@query("origin_windows", compose(f"SELECT win AS \"window\", {solve.TABLE} FROM owt", "panel", extra=_WINDOW_SQL, swap=_EVERY_RANK))
+def origin_windows(spark, sf) -> DataFrame:
+    """The scalar rankers on the first 3, 5 and 10 posts' frames of each event and on all frames, from one panel of every rank."""
+    p = Shared.of(spark, sf).whole_panel.filter("split = 'test'")
+    inside = F.array(*[F.when(F.col("rank") <= n, w) if n else F.lit(w) for w, n in ORIGIN_WINDOWS.items()])
+    kept = [c for c in p.columns if c not in ("split", "block")]
+    p = p.select(*kept, "split", F.explode(inside).alias("window")).filter("window is not null")
+    d = p.withColumns({"neg_rank": -F.col("log_origin_rank"), "novelty_6": F.round("novelty_global", 6)})
+    cells = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("s")) for m, c in METHODS.items()])
+    d = d.select("window", "event_id", "sym", "frame_j", F.col(Y).alias("y"), F.explode(cells).alias("c")).select("*", "c.*").drop("c")
+    ev = mx.event_metrics(d, "y", "s", ["window", "method", "event_id", "sym"], ks=(1, 3), bounded=False)
+    return rounded6(mx.symbol_mean(ev, _M4, ["window", "method"]), *_M4)
 
 
 @query("pooled_mean", compose(f"SELECT method, count(*) AS n_events, {', '.join(r6(f'avg({m})', m) for m in _M4)} FROM em GROUP BY method", "em"))

@@ -75,6 +75,11 @@ class Shared:
     def panel(self) -> DataFrame:
         return pit.build_panel(self.state, BLOCKS, self.stances)
 
+    @cached_property
+    def whole_panel(self) -> DataFrame:
+        """The panel of all new frames, whatever their rank."""
+        return pit.build_panel(self.state, BLOCKS, self.stances, max_rank=None)
+
 
 def rounded6(df: DataFrame, *cols: str) -> DataFrame:
     """Round doubles for comparison with the check query."""

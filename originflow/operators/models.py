@@ -355,8 +355,8 @@ def residual_plugin(
         *PANEL_KEYS, target, "a", "w.l", (F.col("_base") + F.col("w.v") * F.col("part")).alias("score"))
     got = symbol_mean(event_metrics(long, target, "score", ["a", "l", "event_id", "sym"], ks=(3,)),
                       ["ndcg3"], ["a", "l"]).collect()
-    # without usable dev events the strongest penalty and the first weight
-    _, alpha, lam = max(((r["ndcg3"], alphas[r["a"]], lambdas[r["l"]]) for r in got if r["ndcg3"] is not None),
+    # of equal results the strongest penalty and weight; without usable dev events the strongest penalty and the first weight
+    _, alpha, lam = max(((round(r["ndcg3"], 12), alphas[r["a"]], lambdas[r["l"]]) for r in got if r["ndcg3"] is not None),
                         default=(0.0, alphas[-1], lambdas[0]))
     outer = fit_vector_ridge(df, vec, target, refit)
     final = cut(score_vector(df, vec, {"base": outer.weights(base_alpha)}, prefix="_").drop(vec).withColumn(
