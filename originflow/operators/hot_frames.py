@@ -3,14 +3,18 @@
 The walk is sequential by definition, so it runs in rounds over consecutive slices of the event. In
 a round, comparing the slice with all existing frames is spread over blocks of frames; only the order-
 dependent part, which concerns frames touched inside the slice, runs per event on the slice alone.
-The result equals the single-task walk.
+Of the frames a post might join, its best few go to that part: while one of them is untouched it is the
+best of all untouched ones. Once all of a post's few were touched and others may be as good as what the
+walk knows, the slice ends there and the next begins with that post. So the input of the sequential part
+is bounded by the slice, and the result equals the single-task walk.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +26,11 @@ from originflow.session import cut
 FRAME_STATE = [T.StructField("frame_j", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("centroid", VEC)]
 
 
-def resolve_slice(ranks, vecs, near: dict, cents: dict, first_new: int, thr: float):
-    """Walk one slice. ``near[rank]`` lists (frame, sim) at or above ``thr`` before the slice; ``cents`` holds
-    size and centroid of those frames. Returns per-post (frame, new, best among joined or active frames) and
-    the frames changed: frame -> (size, centroid, first rank that changed it).
+def resolve_slice(ranks, vecs, near: dict, cents: dict, first_new: int, thr: float, more=frozenset()):
+    """Walk one slice. ``near[rank]`` lists the best (frame, sim) at or above ``thr`` before the slice, ``more`` the ranks with
+    others beyond the list; ``cents`` holds size and centroid of the listed frames. Returns per-post (frame, new, best among
+    joined or active frames) up to the first post that cannot be decided, and the frames changed: frame -> (size, centroid,
+    first rank that changed it).
     """
     ids: list[int] = []
     where: dict[int, int] = {}
@@ -52,7 +57,10 @@ def resolve_slice(ranks, vecs, near: dict, cents: dict, first_new: int, thr: flo
             s = c[: len(ids)] @ v
             top = s.max()
             best, frame = float(top), min(ids[i] for i in np.flatnonzero(s == top))
-        for f, sim in near.get(rank, ()):
+        listed = near.get(rank, ())
+        if rank in more and all(f in where for f, _ in listed) and not best > min(sim for _, sim in listed):
+            break
+        for f, sim in listed:
             if f not in where and (sim > best or (sim == best and f < frame)):
                 best, frame = sim, f
         if frame >= 0 and best >= thr:
@@ -76,7 +84,15 @@ def _blocks(posts: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[F.col(k).alias(f"{k}_") for k in (*EVENT, "fb")], "frame_j", "centroid", "touch").groupBy(*[f"{k}_" for k in (*EVENT, "fb")])
 
 
-def hot_event_frames(ranked: DataFrame, thr: float, vec: str, schema: T.StructType, chunk: int = 8192) -> DataFrame:
+def best_few(i: np.ndarray, frame: np.ndarray, sim: np.ndarray, few: int):
+    """Of each ``i`` the ``few`` entries of highest ``sim`` (ties: smaller ``frame``)."""
+    order = np.lexsort((frame, -sim, i))
+    i, frame, sim = i[order], frame[order], sim[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < few], frame[place < few], sim[place < few]
+
+
+def hot_event_frames(ranked: DataFrame, thr: float, vec: str, schema: T.StructType, chunk: int = 4096, few: int = 8) -> DataFrame:
     spark = ranked.sparkSession
     key_fields = [ranked.schema["sym"], ranked.schema["day"]]
     posts = cut(ranked.withColumn("_v", unit(vec)).drop(vec))
@@ -92,7 +108,7 @@ def hot_event_frames(ranked: DataFrame, thr: float, vec: str, schema: T.StructTy
             return near_table(a, [], [], [])
         s = matrix(a.column("_v")) @ matrix(b.column("centroid")).T
         i, j = np.nonzero(s >= thr)
-        return near_table(a, i, b.column("frame_j").to_numpy()[j], s[i, j])
+        return near_table(a, *best_few(i, b.column("frame_j").to_numpy()[j], s[i, j], few + 1))
 
     def near_table(a: pa.Table, i, frame, sim) -> pa.Table:
         got = a.select([*EVENT, "rank"]).take(pa.array(np.asarray(i, dtype=np.int64)))
@@ -101,14 +117,15 @@ def hot_event_frames(ranked: DataFrame, thr: float, vec: str, schema: T.StructTy
     def walk(a: pa.Table, b: pa.Table) -> pa.Table:
         a = a.sort_by([("rank", "ascending")])
         ranks = a.column("rank").to_pylist()
+        isfr = b.column("rank").is_null()
+        listed, held = b.filter(pc.invert(isfr)).sort_by([("rank", "ascending")]), b.filter(isfr)
+        rank, frame, sim = (listed.column(c).to_numpy() for c in ("rank", "frame_j", "sim"))
         cand: dict[int, list] = {}
-        cents: dict[int, tuple] = {}
-        for r in b.to_pylist():
-            if r["rank"] is None:
-                cents[r["frame_j"]] = (r["n"], np.array(r["centroid"]))
-            else:
-                cand.setdefault(r["rank"], []).append((r["frame_j"], r["sim"]))
-        out, changed = resolve_slice(ranks, matrix(a.column("_v")), cand, cents, a.column("f0")[0].as_py(), thr)
+        for r, f, x in zip(rank.tolist(), frame.tolist(), sim.tolist()):
+            cand.setdefault(r, []).append((f, x))
+        more = set(rank[listed.column("more").to_numpy(zero_copy_only=False).astype(bool)].tolist())
+        cents = dict(zip(held.column("frame_j").to_pylist(), zip(held.column("n").to_pylist(), matrix(held.column("centroid")))))
+        out, changed = resolve_slice(ranks, matrix(a.column("_v")), cand, cents, a.column("f0")[0].as_py(), thr, more)
         head = {k: a.column(k)[0].as_py() for k in EVENT}
         rows = [{**head, "rank": r, "frame_j": f, "sim": s, "is_new": new, "n": None, "centroid": None, "touch": None}
                 for r, (f, new, s) in zip(ranks, out)]
@@ -131,19 +148,23 @@ def hot_event_frames(ranked: DataFrame, thr: float, vec: str, schema: T.StructTy
         ("rank", pa.int64()), ("frame_j", pa.int32()), ("sim", pa.float64()), ("is_new", pa.bool_()), ("n", pa.int64()),
         ("centroid", pa.list_(pa.float64())), ("touch", pa.int64())])
     never = F.lit(None).cast("bigint")
-    rounds = -(-int(posts.agg(F.max("k")).first()[0] or 0) // chunk)
+    starts = cut(posts.groupBy(*EVENT).agg(F.lit(0).cast("bigint").alias("start"), F.max("rank").alias("last")))
+    best = Window.partitionBy(*EVENT, "rank").orderBy(F.desc("sim"), "frame_j")
     placed = []
-    for t in range(rounds):
-        part = posts.filter((F.col("rank") > t * chunk) & (F.col("rank") <= (t + 1) * chunk)).select(*EVENT, "rank", "_v")
+    while not starts.isEmpty():
+        part = posts.join(starts.drop("last"), EVENT).filter((F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("start") + chunk)).select(
+            *EVENT, "rank", "_v")
         l, r = _blocks(part, frames.withColumn("touch", never))
-        cand = cut(l.cogroup(r).applyInArrow(near, near_schema))
+        cand = l.cogroup(r).applyInArrow(near, near_schema).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= few + 1)
+        cand = cand.withColumn("more", F.max("at").over(Window.partitionBy(*EVENT, "rank")) > few).filter(F.col("at") <= few).drop("at")
+        cand = cut(cand)
         used = cand.select(*EVENT, "frame_j").distinct().join(frames, [*EVENT, "frame_j"])
         none = lambda kind: F.lit(None).cast(kind)
-        right = cand.select(*EVENT, "frame_j", F.col("rank"), "sim", none("bigint").alias("n"), none("array<double>").alias("centroid")).unionByName(
-            used.select(*EVENT, "frame_j", none("bigint").alias("rank"), none("double").alias("sim"), "n", "centroid"))
+        right = cand.select(*EVENT, "frame_j", F.col("rank"), "sim", "more", none("bigint").alias("n"), none("array<double>").alias("centroid")).unionByName(
+            used.select(*EVENT, "frame_j", none("bigint").alias("rank"), none("double").alias("sim"), F.lit(False).alias("more"), "n", "centroid"))
         count = frames.groupBy(*EVENT).agg(F.count(F.lit(1)).cast("int").alias("f0"))
         left = part.join(count, EVENT, "left").fillna(0, ["f0"])
-        right = right.select(*[F.col(k).alias(f"{k}_") for k in EVENT], "frame_j", "rank", "sim", "n", "centroid")
+        right = right.select(*[F.col(k).alias(f"{k}_") for k in EVENT], "frame_j", "rank", "sim", "more", "n", "centroid")
         step = cut(left.groupBy(*EVENT).cogroup(right.groupBy(*[f"{k}_" for k in EVENT])).applyInArrow(walk, step_schema))
         done = step.filter("rank IS NOT NULL").select(*EVENT, "rank", "frame_j", "is_new", "sim")
         changed = step.filter("rank IS NULL").select(*EVENT, "frame_j", "n", "centroid", "touch")
@@ -156,6 +177,8 @@ def hot_event_frames(ranked: DataFrame, thr: float, vec: str, schema: T.StructTy
             "best_sim", F.when(F.col("is_new"), F.greatest("sim", "rest")).otherwise(F.col("sim"))).drop("sim", "rest")))
         kept = frames.join(changed, [*EVENT, "frame_j"], "left_anti")
         frames = cut(kept.unionByName(changed.drop("touch")))
+        reached = done.groupBy(*EVENT).agg(F.max("rank").alias("start"))  # where the slice ended, perhaps before its last post
+        starts = cut(starts.drop("start").join(reached, EVENT).filter(F.col("start") < F.col("last")).select(*EVENT, "start", "last"))
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from originflow.operators import frames as fr
-from originflow.operators.hot_frames import hot_event_frames
+from originflow.operators.hot_frames import hot_event_frames, resolve_slice
 
 DAY = dt.date(2024, 1, 1)
 
@@ -70,11 +70,12 @@ def test_join_at_exact_threshold(spark):
     assert fr.online_frames(df, sim + 1e-9).filter("is_new").count() == 2
 
 
-@pytest.mark.parametrize("thr", [0.35, 0.6])
-def test_spread_walk_equals_single_task_walk(spark, thr):
-    df, _ = events(spark, [90, 41], seed=5)
+@pytest.mark.parametrize("thr, few", [(0.35, 8), (0.6, 8), (-0.2, 1), (0.1, 2)])
+def test_spread_walk_equals_single_task_walk(spark, thr, few):
+    """With one or two listed frames and a low threshold most slices end before their last post."""
+    df, _ = events(spark, [90, 41] if few == 8 else [40, 23], seed=5)
     plain = fr.online_frames(df, thr)
-    spread = hot_event_frames(df, thr, "emb", plain.schema, chunk=16)
+    spread = hot_event_frames(df, thr, "emb", plain.schema, chunk=16, few=few)
     a = plain.orderBy("sym", "rank").collect()
     b = spread.orderBy("sym", "rank").collect()
     assert len(a) == len(b)
@@ -132,3 +133,14 @@ def test_best_match_over_blocks(spark):
     s = a @ b.T
     for row in fr.best_match(l, r, ["g"], "lid", "rid", block=4).collect():
         assert row["rid"] == int(s[row["lid"]].argmax()) and row["sim"] == pytest.approx(s[row["lid"]].max())
+
+
+def test_a_slice_ends_where_its_listed_frames_do_not_decide():
+    """Two posts near the same frames: the second cannot know whether a frame beyond its list is better than what was touched."""
+    c = {0: (1, np.array([1.0, 0.0])), 1: (1, np.array([0.8, 0.6]))}
+    vecs = np.array([[1.0, 0.0], [0.9, np.sqrt(0.19)]])
+    near = {1: [(0, 1.0)], 2: [(0, 0.9)]}  # frame 1 is better for the second post, but off a list of one
+    out, _ = resolve_slice([1, 2], vecs, near, c, 2, 0.5, more={1, 2})
+    assert len(out) == 1 and out[0][0] == 0
+    out, _ = resolve_slice([1, 2], vecs, {1: near[1], 2: [(1, 0.98), (0, 0.9)]}, c, 2, 0.5, more={1})
+    assert [o[0] for o in out] == [0, 1]
