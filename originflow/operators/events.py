@@ -31,12 +31,14 @@ def first_posts(
 ) -> DataFrame:
     """Earliest post per (event, actor). A grouped minimum, so repeats of a busy actor combine map-side.
 
-    ``first_seen`` is the lowest post id of the actor in the event; it orders equal timestamps.
+    ``first_seen`` is the actor's lowest line number in the event, or post id where posts have none; it orders equal timestamps.
     """
+    tie = "line_no" if "line_no" in posts.columns else "post_id"
+    carry = tuple(c for c in carry if c != tie)
     df = day_range(posts, start, end) if "day" in posts.columns else posts
-    picked = F.min(F.struct("us", "post_id", *carry)).alias("p")
+    picked = F.min(F.struct("us", *dict.fromkeys([tie, "post_id"]), *carry)).alias("p")
     return (
-        df.groupBy(*keys, "actor").agg(picked, F.min("post_id").alias("first_seen"))
+        df.groupBy(*keys, "actor").agg(picked, F.min(tie).alias("first_seen"))
         .select(*keys, "actor", "p.us", "p.post_id", *[f"p.{c}" for c in carry], "first_seen")
     )
 

@@ -53,13 +53,23 @@ def parse_ts(created_at: Column) -> Column:
     return F.when(shaped, F.try_to_timestamp(colon))
 
 
+def line_number() -> Column:
+    """A number that rises along a file's lines: where the line's block starts plus its row in the scan partition.
+
+    A line takes a byte at least and a block that is not a file's last fills a partition alone, so numbers of one block stay
+    below the start of the next. Only the order means something; it does not depend on how the file is split.
+    """
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def read_posts(spark: SparkSession, path: str, with_text: bool = True) -> DataFrame:
     """Read one JSON-lines file per symbol; the symbol is the file name without its ending.
 
     Unparsable lines and rows without a time or an actor are dropped. A follower count that is not
-    a number becomes 0; a truthy verified flag becomes 1.
+    a number becomes 0; a truthy verified flag becomes 1. ``line_no`` rises along the lines of a file, which
+    is how equal time stamps are ordered; a row without a numeric id has a post id of its own from it.
     """
-    raw = spark.read.schema(RAW_POST).option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.schema(RAW_POST).option("mode", "PERMISSIVE").json(path).withColumn("line_no", line_number())
     raw = raw.withColumn("sym", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
     ts = parse_ts(F.col("created_at"))
     rows = raw.filter(
@@ -72,7 +82,7 @@ def read_posts(spark: SparkSession, path: str, with_text: bool = True) -> DataFr
     cols = [
         F.col("sym"), F.col("kol_username").alias("actor"), us.alias("us"), day_of(us).alias("day"),
         hour_of(us).alias("hour"), 
-        F.coalesce(F.col("tweet_id").try_cast("bigint"), F.xxhash64("sym", "created_at", "kol_username", "text")).alias("post_id"),
+        F.coalesce(F.col("tweet_id").try_cast("bigint"), -1 - F.col("line_no")).alias("post_id"), F.col("line_no"),
         F.when(F.length(number) > 0, number.cast("double")).otherwise(F.lit(0.0)).alias("followers"),
         F.when(F.lower("author_verified").isin("true", "1"), 1.0).otherwise(0.0).alias("verified"),
         stance(F.col("text")).alias("stance"), F.col("tweet_type"), F.col("lang"), F.col("cashtags"),

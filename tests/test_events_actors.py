@@ -28,6 +28,40 @@ def random_posts(spark, n=400, seed=0, days=8):
              float(g.integers(0, 40)), float(g.integers(0, 2))) for i in range(n)]
 
 
+def test_lines_keep_the_order_of_the_file(spark, tmp_path):
+    """Two files cut into many blocks: line numbers rise along each file, equal times follow it, and identical lines are two posts."""
+    g = np.random.default_rng(0)
+    for name in ("AAA", "BBB"):
+        lines = []
+        for i in range(400):
+            rec = {"created_at": "2024-01-02T10:00:00Z", "kol_username": f"u{int(g.integers(60))}", "author_followers": i, "text": "x" * int(g.integers(5, 200))}
+            lines.append(json.dumps(rec))
+        lines[7] = lines[6]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    orders = []
+    try:
+        for size in ("4kb", "128mb"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            posts = src.read_posts(spark, str(tmp_path))
+            assert size != "4kb" or posts.rdd.getNumPartitions() > 20
+            rows = posts.select("sym", "line_no", "followers", "post_id").collect()
+            assert len(rows) == 800 and len({(r.sym, r.post_id) for r in rows}) == 800
+            for name in ("AAA", "BBB"):
+                mine = [r.followers for r in sorted((r for r in rows if r.sym == name), key=lambda r: r.line_no)]
+                assert [int(v) for v in mine if v != 6] == [i for i in range(400) if i not in (6, 7)] and mine.count(6) == 2
+            ranked = ev.rank_posts(ev.first_posts(posts), 1)
+            orders.append([(r.sym, r["rank"], r.actor) for r in ranked.orderBy("sym", "rank").collect()])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert orders[0] == orders[1]
+    seen = []
+    for line in (tmp_path / "AAA.jsonl").read_text().splitlines():
+        if (actor := json.loads(line)["kol_username"]) not in seen:
+            seen.append(actor)
+    assert [a for s, _, a in orders[0] if s == "AAA"] == seen
+
+
 def test_read_posts(spark, tmp_path):
     good = {"created_at": "2024-01-02T03:04:05Z", "kol_username": "k1", "author_followers": 12, "author_verified": True, "text": "buy https://sell.x now", "tweet_id": "1"}
     lines = [json.dumps(good), "{broken", json.dumps({**good, "created_at": None}), json.dumps({**good, "kol_username": ""}),
