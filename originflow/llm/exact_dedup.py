@@ -9,6 +9,7 @@ bytes decide.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -184,13 +185,13 @@ class Snapshots:
         return digests.select("digest", shard, part).groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")) \
             .applyInArrow(_screen, "digest binary")
 
-    def known(self, digests: DataFrame, texts: DataFrame) -> DataFrame:
-        """``digest, snapshot`` of the distinct ``digests(digest)`` whose bytes some snapshot holds.
+    def known(self, digests: DataFrame, texts: DataFrame) -> list[Staged]:
+        """Written tables ``digest, snapshot`` of the distinct ``digests(digest)`` whose bytes a snapshot holds, one a snapshot.
 
         Filters screen the digests; only the texts of those that pass (``texts(digest, text)``, copies allowed) travel to the
         exact buckets, which stay where they are, and equal bytes decide.
         """
-        out, left = None, digests
+        parts, left = [], digests
         for m in self.members:
             passed = Staged(self.positives(left, m["number"]), "screened")
             asked = texts.join(passed.df, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("asked"))
@@ -198,8 +199,10 @@ class Snapshots:
                            .select("digest", F.lit(m["number"]).alias("snapshot")), "known")
             passed.drop()
             left = left.join(found.df, "digest", "left_anti")
-            out = found.df if out is None else out.union(found.df)
-        return out if out is not None else digests.select("digest", F.lit(0).alias("snapshot")).limit(0)
+            parts.append(found)
+        if not parts:
+            parts.append(Staged(digests.select("digest", F.lit(0).alias("snapshot")).limit(0), "known"))
+        return parts
 
     def drop(self) -> None:
         for m in self.members:
@@ -233,14 +236,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     rows = Staged(read.select("doc_id", "batch", digest(F.col("text")).alias("digest"), F.coalesce(F.length("_raw"), F.lit(0)).alias("n"),
                               F.monotonically_increasing_id().alias("row")), "dedup-digests").df
     first = F.struct((-F.col("n")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    groups = Staged(rows.groupBy("batch", "digest").agg(F.count("*").alias("size"), F.min(first).alias("best")), "dedup-groups").df
+    grouped = Staged(rows.groupBy("batch", "digest").agg(F.count("*").alias("size"), F.min(first).alias("best")), "dedup-groups")
+    groups = grouped.df
     store = Snapshots(spark) if own else store
     since = len(store.members)
-    owner = []
+    owner, written = [], []
     for k in range(batches):
         mine = groups.filter(F.col("batch") == k).select("digest")
         texts = read.filter(F.col("batch") == k).select(digest(F.col("text")).alias("digest"), "text")
-        found = store.known(mine, texts)
+        parts = store.known(mine, texts)
+        found = reduce(DataFrame.union, [t.df for t in parts])
+        written += parts
         if store.members[since:]:
             owner.append(found.filter(F.col("snapshot") >= since)
                          .select("digest", F.lit(k).alias("batch"), (F.col("snapshot") - since).alias("home")))
@@ -248,14 +254,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
             store.add(mine.join(found, "digest", "left_anti"), texts)
     joined = groups.withColumn("home", F.col("batch"))
     if owner:
-        homes = owner[0]
-        for more in owner[1:]:
-            homes = homes.union(more)
-        joined = groups.join(homes, ["batch", "digest"], "left").withColumn("home", F.coalesce("home", "batch"))
+        joined = groups.join(reduce(DataFrame.union, owner), ["batch", "digest"], "left").withColumn("home", F.coalesce("home", "batch"))
     whole = joined.groupBy("digest", "home").agg(F.sum("size").alias("group_size"), F.min("best").alias("keep"))
     classes = Staged(joined.select("batch", "digest", "home").join(whole, ["digest", "home"])
                      .select("batch", "digest", "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row")),
                      "dedup-classes").df
+    for t in (grouped, *written):
+        t.drop()
     if own:
         store.drop()
     total = rows.count()

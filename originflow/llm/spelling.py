@@ -179,8 +179,8 @@ def _probe_of(filters, slices: dict[int, int], alphabet: np.ndarray):
     return run
 
 
-def near_pairs(words: DataFrame, round_bytes: int = ROUND_BYTES, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """``a, n_a, b, n_b``: each unordered pair of words of ``words(word, n)`` that differ by one inserted, deleted or replaced
+def near_pairs(words: DataFrame, round_bytes: int = ROUND_BYTES, slice_words: int = SLICE_WORDS) -> Staged:
+    """A written table ``a, n_a, b, n_b``: each unordered pair of words of ``words(word, n)`` that differ by one inserted, deleted or replaced
     code point, once. Words are distinct and at least one code point long.
 
     Filters are built in tasks, one per (length, slice). They are broadcast in rounds of at most ``round_bytes`` (or one
@@ -190,7 +190,7 @@ def near_pairs(words: DataFrame, round_bytes: int = ROUND_BYTES, slice_words: in
     spark = words.sparkSession
     per_length = {r[0]: r[1] for r in words.groupBy(F.length("word").cast("int")).count().collect()}
     if not per_length:
-        return spark.createDataFrame([], "a string, n_a long, b string, n_b long")
+        return Staged(spark.createDataFrame([], "a string, n_a long, b string, n_b long"), "spelling-pairs")
     slices = {n: -(-k // slice_words) for n, k in per_length.items()}
     alphabet = np.array(sorted(ord(r[0]) for r in words.select(F.explode(F.split("word", ""))).distinct().collect() if r[0]), np.uint32)
     keyed = Staged(words.select("word", "n").mapInArrow(_keys_of(slices), "word string, n long, length int, slice int, key long"),
@@ -226,7 +226,7 @@ def near_pairs(words: DataFrame, round_bytes: int = ROUND_BYTES, slice_words: in
                    "spelling-pairs")
     for t in (*found, filters, keyed):
         t.drop()
-    return pairs.df
+    return pairs
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
@@ -259,9 +259,10 @@ def variants(words: DataFrame, ratio: int = 2, **limits) -> DataFrame:
     """
     if ratio < 2:
         raise ValueError("ratio must be at least 2")
-    words = Staged(words.select(F.col("word").cast("string").alias("word"), F.col("n").cast("long").alias("n"))
-                   .filter("word is not null and n is not null and word != ''"), "spelling-words").df
-    pairs = near_pairs(words, **limits)
+    given = Staged(words.select(F.col("word").cast("string").alias("word"), F.col("n").cast("long").alias("n"))
+                   .filter("word is not null and n is not null and word != ''"), "spelling-words")
+    words, near = given.df, near_pairs(given.df, **limits)
+    pairs = near.df
     both = pairs.select(F.col("a").alias("word"), F.struct((-F.col("n_b")).alias("neg"), F.col("b").alias("near")).alias("by")) \
         .union(pairs.select(F.col("b"), F.struct((-F.col("n_a")).alias("neg"), F.col("a").alias("near"))))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min("by").alias("by"))
@@ -269,6 +270,8 @@ def variants(words: DataFrame, ratio: int = 2, **limits) -> DataFrame:
     out = Staged(words.join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("by.near")).alias("form"),
         F.when(fits, -F.col("by.neg")).alias("form_n")), "spelling-forms").df
+    given.drop()
+    near.drop()
     top = out.agg(F.max("n"), F.min("n")).first()
     hops = int(np.log2(max(1, top[0]) / max(1, top[1]))) + 1 if top[0] else 1
     roots, reach = Staged(out.filter("form is not null").select("word", F.col("form").alias("root")), "spelling-roots"), 1

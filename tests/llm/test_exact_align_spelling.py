@@ -88,7 +88,7 @@ def test_snapshots_stay_and_are_opened_again(spark, tmp_path):
     again = exact_dedup.Snapshots(spark, path)
     assert [m["number"] for m in again.members] == [0]
     texts = spark.createDataFrame([("aa",), ("b",), ("c",)], "text string").select(exact_dedup.sha256(F.col("text")).alias("digest"), "text")
-    known = {r.digest for r in again.known(texts.select("digest"), texts).collect()}
+    known = {r.digest for t in again.known(texts.select("digest"), texts) for r in t.df.collect()}
     assert known == {hashlib.sha256(t).digest() for t in (b"aa", b"b")}
     exact_dedup.dedup(spark.createDataFrame([(3, "c"), (4, "b")], "doc_id long, text string"), batches=1, store=again)
     assert len(again.members) == 2 and sorted(p.name for p in (tmp_path / "store" / "texts-0").iterdir()) == files
