@@ -78,7 +78,7 @@ _PARAMETERS = ",\n".join([solve.moments("mo", _rows(_TRAIN), "add"), solve.solve
 
 
 @query("ridge_parameters", compose("SELECT '(intercept)' AS feature, " + r6("max(ym)", "coef_std") + ", CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS mean, "
-       "CAST(NULL AS DOUBLE) AS sd, " + r6("max(ym) - sum(b / sd * mu)", "coef_raw") + " FROM pab JOIN mos USING (win, i) JOIN moy USING (win) UNION ALL SELECT "
+       "CAST(NULL AS DOUBLE) AS sd, " + r6("max(ym) - sum(b / sd * mu)", "coef_raw") + " FROM pab JOIN mos USING (win, i) JOIN moy USING (win) HAVING count(*) > 0 UNION ALL SELECT "
        f"{_LINEAR!r}[i + 1], " + ", ".join([r6("b", "coef_std"), r6("med", "median"), r6("mu", "mean"), r6("sd", "sd"), r6("b / sd", "coef_raw")])
        + " FROM pab JOIN mos USING (win, i)", "panel", extra=_PARAMETERS))
 def ridge_parameters(spark, sf) -> DataFrame:
@@ -105,7 +105,7 @@ def ridge_ablation(spark, sf) -> DataFrame:
 _GRID = f"(SELECT t.method AS name, t.method || '|' || CAST(a AS VARCHAR) AS method, ix, a AS alpha FROM {solve.sets_values(ft.ORIGIN_SETS, _LINEAR)} t, (SELECT unnest({ALPHAS!r}) AS a) u)"
 _SELECT = ",\n".join([
     solve.moments("mi", _rows(_INNER, where=_TRAIN), "strict"), solve.solved("in_", "mi", _GRID), solve.scores("in_", "mi", "NOT fit"), solve.metric_table("in_"),
-    f"best AS MATERIALIZED (SELECT name AS method, ix, alpha FROM {_GRID} g JOIN in_t USING (method) QUALIFY row_number() OVER (PARTITION BY name ORDER BY ndcg3 DESC, alpha DESC) = 1)",
+    f"best AS MATERIALIZED (SELECT name AS method, ix, alpha FROM {_GRID} g JOIN in_t USING (method) QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(ndcg3, 12) DESC, alpha DESC) = 1)",
     solve.moments("mo", _rows(_TRAIN), "strict"), solve.solved("fi_", "mo", "(SELECT method, ix, alpha FROM best)"), solve.scores("fi_", "mo", "NOT fit"),
     solve.metric_table("fi_")])
 
@@ -121,7 +121,7 @@ def ridge_select(spark, sf) -> DataFrame:
 _GCV = ",\n".join([
     solve.moments("mo", _rows(_TRAIN), "strict"),
     solve.solved("gc", "mo", f"(SELECT CAST(a AS VARCHAR) AS method, ix, a AS alpha FROM {solve.sets_values({'f': ft.ORIGIN_SETS['ol_origin']}, _LINEAR)} t, "
-                             f"(SELECT unnest({VECTOR_ALPHAS!r}) AS a) u)", inverse=True),
+                             f"(SELECT unnest({VECTOR_ALPHAS!r}) AS a) u)", inverse=True, spare=None),
     """gq AS (SELECT x.method, sum(x.b * y.b * g) AS q FROM gcb x JOIN gcb y USING (win, method) JOIN mog ON mog.win = x.win AND mog.i = x.i AND mog.j = y.i GROUP BY x.method),
 gv AS (SELECT method, max(alpha) AS alpha, (max(yy) - 2 * sum(b * r) + max(q)) / greatest(max(n) - (1 + count(*) - max(alpha) * sum(a)), 1e-9) ** 2 AS gcv
  FROM gcb JOIN mor USING (win, i) JOIN moy USING (win) JOIN gq USING (method) GROUP BY method),
@@ -142,20 +142,20 @@ def _with_vectors(s: Shared) -> DataFrame:
 
 
 def _vector_rows(fit: str, where: str) -> str:
-    return f"SELECT 'main' AS win, {fit} AS fit, event_id, sym, frame_j, {Y} AS y, v AS xs FROM panel JOIN vec USING (vec_id) WHERE {where}"
+    return f"SELECT 'main' AS win, {fit} AS fit, event_id, sym, frame_j, {Y} AS y, CAST(embedding AS DOUBLE[]) AS xs FROM panel JOIN embeddings USING (vec_id) WHERE {where}"
 
 
-_DIM = f"(SELECT CAST(a AS VARCHAR) AS method, range(0, (SELECT max(len(v)) FROM vec)) AS ix, a AS alpha FROM (SELECT unnest({VECTOR_ALPHAS!r}) AS a))"
+_DIM = f"(SELECT CAST(a AS VARCHAR) AS method, range(0, (SELECT max(len(embedding)) FROM embeddings)) AS ix, a AS alpha FROM (SELECT unnest({VECTOR_ALPHAS!r}) AS a))"
 _VECTOR = ",\n".join([
-    solve.moments("vi", _vector_rows(_INNER, _TRAIN), "loose", impute=False), solve.solved("vs", "vi", _DIM), solve.scores("vs", "vi", "NOT fit"),
+    solve.moments("vi", _vector_rows(_INNER, _TRAIN), "loose", impute=False), solve.solved("vs", "vi", _DIM, spare=None), solve.scores("vs", "vi", "NOT fit"),
     solve.metric_table("vs"),
-    f"vbest AS MATERIALIZED (SELECT method, ix, alpha FROM {_DIM} d JOIN vst USING (method) ORDER BY ndcg3 DESC, alpha DESC LIMIT 1)",
-    solve.moments("vo", _vector_rows(_TRAIN, "TRUE"), "loose", impute=False), solve.solved("vf", "vo", "(SELECT method, ix, alpha FROM vbest)"),
+    f"vbest AS MATERIALIZED (SELECT method, ix, alpha FROM {_DIM} d JOIN vst USING (method) ORDER BY round(ndcg3, 12) DESC, alpha DESC LIMIT 1)",
+    solve.moments("vo", _vector_rows(_TRAIN, "TRUE"), "loose", impute=False), solve.solved("vf", "vo", "(SELECT method, ix, alpha FROM vbest)", spare=None),
     solve.scores("vf", "vo", "TRUE")])
 
 
 @query("vector_ridge", compose("SELECT event_id, CAST(frame_j AS BIGINT) AS frame_j, " + r6("s", "score") + ", alpha FROM vfp, (SELECT max(alpha) AS alpha FROM vbest)",
-                               "panel", "vec", extra=_VECTOR))
+                               "panel", extra=_VECTOR))
 def vector_ridge(spark, sf) -> DataFrame:
     s = Shared.of(spark, sf)
     scored, alpha = models.vector_ridge_select(_with_vectors(s), "emb", Y, inner_fit(), inner_dev(), is_train(), VECTOR_ALPHAS)
@@ -167,7 +167,7 @@ _RESID = lambda fit, base, where: f"""SELECT 'main' AS win, {fit} AS fit, event_
  FROM panel JOIN {base} b USING (event_id, frame_j) WHERE {where}"""
 _CONTEXT = f"(SELECT CAST(a AS VARCHAR) AS method, range(0, {len(ft.CONTEXT)}) AS ix, a AS alpha FROM (SELECT unnest({VECTOR_ALPHAS!r}) AS a))"
 _RESIDUAL = ",\n".join([
-    _VECTOR, solve.solved("rb", "vi", _BASE), solve.scores("rb", "vi", "TRUE"),  # the inner base on all training rows
+    _VECTOR, solve.solved("rb", "vi", _BASE, spare=None), solve.scores("rb", "vi", "TRUE"),  # the inner base on all training rows
     solve.moments("ri", _RESID(_INNER, "rbp", _TRAIN), "loose"), solve.solved("rr", "ri", _CONTEXT), solve.scores("rr", "ri", "NOT fit"),
     f"""rgp AS MATERIALIZED (SELECT 'main' AS win, r.method || '|' || CAST(l AS VARCHAR) AS method, event_id, sym, frame_j, b.y, b.s + l * r.s AS s
  FROM rrp r JOIN (SELECT event_id, frame_j, y, s FROM rbp) b USING (event_id, frame_j), (SELECT unnest({LAMBDAS!r}) AS l))""", solve.metric_table("rg"),
@@ -177,7 +177,7 @@ _RESIDUAL = ",\n".join([
 
 
 @query("residual_plugin", compose("SELECT event_id, CAST(frame_j AS BIGINT) AS frame_j, " + r6("b.s", "base_score") + ", " + r6("b.s + l * w.s", "score")
-       + " FROM vfp b JOIN (SELECT event_id, frame_j, s FROM rwp) w USING (event_id, frame_j), rbest", "panel", "vec", extra=_RESIDUAL))
+       + " FROM vfp b JOIN (SELECT event_id, frame_j, s FROM rwp) w USING (event_id, frame_j), rbest", "panel", extra=_RESIDUAL))
 def residual_plugin(spark, sf) -> DataFrame:
     s = Shared.of(spark, sf)
     out, _ = models.residual_plugin(_with_vectors(s), "emb", ft.CONTEXT, Y, inner_fit(), inner_dev(), is_train(),

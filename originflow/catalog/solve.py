@@ -33,16 +33,16 @@ def moments(t: str, rows: str, rule: str, impute: bool = True) -> str:
 {t}r AS MATERIALIZED (SELECT win, i, sum(z * (y - ym)) AS r FROM {t}z JOIN {t}y USING (win) WHERE fit GROUP BY win, i)"""
 
 
-def solved(t: str, m: str, sets: str, inverse: bool = False) -> str:
+def solved(t: str, m: str, sets: str, inverse: bool = False, spare: int | None = 30) -> str:
     """``{t}b(win, method, i, b)`` from the moments ``m`` and a relation ``sets(method, ix, alpha)``, which may have a column win.
 
     Rows of the system are lists; a recursion clears one column a step. With ``inverse`` the unit matrix rides along and
-    ``{t}b`` also has the diagonal ``a`` of the inverse.
+    ``{t}b`` also has the diagonal ``a`` of the inverse. Sets with fewer than ``spare`` fit rows beyond their size have no model.
     """
     unit = f", [CASE WHEN q = a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR q IN range(1, len(max(ix)) + 1)]" if inverse else ""
     line = f"list_append(list(g + CASE WHEN a = b THEN alpha ELSE 0 END ORDER BY b), max(r))"
     line = f"list_concat({line}{unit})" if inverse else line
-    return f"""{t}n AS MATERIALIZED (SELECT y.win, s.method, s.ix, s.alpha FROM {m}y y, {sets} s),
+    return f"""{t}n AS MATERIALIZED (SELECT y.win, s.method, s.ix, s.alpha FROM {m}y y, {sets} s{f" WHERE y.n >= len(s.ix) + {spare}" if spare is not None else ""}),
 {t}c AS (SELECT win, method, alpha, ix, a, ia, unnest(ix) AS ib, generate_subscripts(ix, 1) AS b FROM (
  SELECT win, method, alpha, ix, unnest(ix) AS ia, generate_subscripts(ix, 1) AS a FROM {t}n)),
 {t}i AS (SELECT c.win, method, a, {line} AS line FROM {t}c c JOIN {m}g g ON g.win = c.win AND g.i = ia AND g.j = ib JOIN {m}r r ON r.win = c.win AND r.i = ia

@@ -248,7 +248,7 @@ def ridge_select(
         found: dict[str, list] = {}
         for r in rows:
             name, a = r["method"].rsplit("|", 1)
-            found.setdefault(name, []).append((r["ndcg3"], float(a)))
+            found.setdefault(name, []).append((round(r["ndcg3"], 12), float(a)))  # equal up to the order of sums
             table.append((name, float(a), float(r["ndcg3"])))
         for name, opts in found.items():
             pick = max(opts, key=lambda o: (o[0], o[1] if tie == "largest" else -alphas.index(o[1])))
@@ -319,7 +319,7 @@ def vector_ridge_select(df: DataFrame, vec: str, target: str, fit: Column, dev:
         F.struct(F.lit(i).alias("a"), F.col(f"s_{i}").alias("score")) for i in range(len(alphas))])).alias("c")).select(
         *PANEL_KEYS, target, "c.*")
     got = symbol_mean(event_metrics(long, target, "score", ["a", "event_id", "sym"], ks=(3,)), ["ndcg3"], ["a"]).collect()
-    best = max(((r["ndcg3"], alphas[r["a"]]) for r in got), default=(0.0, alphas[-1]))[1]
+    best = max(((round(r["ndcg3"], 12), alphas[r["a"]]) for r in got), default=(0.0, alphas[-1]))[1]
     final = fit_vector_ridge(df, vec, target, refit)
     return score_vector(df, vec, {"score": final.weights(best)}, prefix=""), best
 
@@ -339,7 +339,7 @@ def residual_plugin(
         F.struct(F.lit(i).alias("a"), F.col(f"s_{i}").alias("score")) for i in range(len(alphas))])).alias("c")).select(
         *PANEL_KEYS, target, "c.*")
     got = symbol_mean(event_metrics(long, target, "score", ["a", "event_id", "sym"], ks=(3,)), ["ndcg3"], ["a"]).collect()
-    base_alpha = max(((r["ndcg3"], alphas[r["a"]]) for r in got if r["ndcg3"] is not None), default=(0.0, alphas[-1]))[1]
+    base_alpha = max(((round(r["ndcg3"], 12), alphas[r["a"]]) for r in got if r["ndcg3"] is not None), default=(0.0, alphas[-1]))[1]
     with_base = cut(score_vector(df, vec, {"base": inner.weights(base_alpha)}, prefix="_").drop(vec).withColumn(
         "_resid", F.col(target) - F.col("_base")))
     mom = moments(with_base, features, ["_resid"], fit)
