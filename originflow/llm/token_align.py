@@ -20,7 +20,7 @@ from originflow.llm.common import Staged
 
 SLICE_BYTES = 2 << 20  # text tokenized at once
 LINKS_AT_ONCE = 1 << 18  # links looked up at once
-FIRST_PROBE, LAST_PROBE = 16, 4096  # tokens that the first and the longest probe of a stretch compare
+FIRST_PROBE, ARRAY_PROBE, LAST_PROBE = 4, 32, 4096  # tokens that the first, the first array and the longest probe of a stretch compare
 OLD_SCRIPTS = 0x0530  # below, character classes are the same in every Unicode version in use
 KNOWN_PAIRS = 2_000_000  # pairs broadcast with their counts at most; rarer pairs are joined
 
@@ -36,7 +36,18 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = list_a[i], list_b[j]
         if x == y:
             run, probe = 1, FIRST_PROBE
-            while True:  # the shift j - i holds; look ahead twice as far each time until the ends differ
+            while probe < ARRAY_PROBE:  # short stretches: list slices cost less than arrays
+                left, right = list_a[i + run:i + run + probe], list_b[j + run:j + run + probe]
+                if left != right or len(left) < probe:
+                    for p, q in zip(left, right):
+                        if p != q:
+                            break
+                        run += 1
+                    probe = 0
+                    break
+                run += probe
+                probe *= 2
+            while probe:  # the shift j - i holds; look ahead twice as far each time until the ends differ
                 differ = a[i + run:i + run + probe] != b[j + run:j + run + probe]
                 first = int(differ.argmax())
                 if differ[first]:
