@@ -1,6 +1,7 @@
 """Named queries against their check queries in DuckDB, on the small tables."""
 
 import math
+import numbers
 
 import duckdb
 import pandas as pd
@@ -26,7 +27,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
             return "null"
         if hasattr(v, "isoformat"):
             return v.isoformat()[:10]
-        return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return repr(float(v)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
     return sorted(tuple(cell(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
