@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from originflow.llm.common import Staged
 
+BATCH_ROWS = 1000  # rows of an Arrow batch at most
 SLICE_BYTES = 2 << 20  # text tokenized at once
 LINKS_AT_ONCE = 1 << 18  # links looked up at once
 FIRST_PROBE, ARRAY_PROBE, LAST_PROBE = 4, 32, 4096  # tokens that the first, the first array and the longest probe of a stretch compare
@@ -325,5 +326,8 @@ def link_statistics(aligned: DataFrame, size_b: int, known_pairs: int = KNOWN_PA
 
 def statistics(docs: DataFrame, path_a: str, path_b: str, **options) -> DataFrame:
     """``link_statistics`` of ``align`` with the vocabulary size of ``path_b``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"  # texts and links are wide rows: small batches keep workers small
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(key, str(BATCH_ROWS))
     known = {k: options.pop(k) for k in ("known_pairs",) if k in options}
     return link_statistics(align(docs, path_a, path_b, keep=False, **options), _load(Pieces, path_b).size, **known)
