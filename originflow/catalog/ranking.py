@@ -236,10 +236,12 @@ def summary_stats(spark, sf) -> DataFrame:
     return rounded6(mx.summary_stats(Shared.of(spark, sf).panel, ["sym"], "future_reach"), "mean", "min", "max", "p10", "median", "p90")
 
 
-@query("pareto_frontier", """WITH t AS (SELECT user_id, avg(value) AS cost, count(*) AS quality FROM events GROUP BY user_id)
+# a mean is a quotient of whole millionths, which add up alike in every order: equal means compare equal
+@query("pareto_frontier", """WITH t AS (SELECT user_id, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS DOUBLE) / count(value) AS cost, count(*) AS quality FROM events GROUP BY user_id)
 SELECT user_id, quality, NOT EXISTS (SELECT 1 FROM t b WHERE b.cost <= a.cost AND b.quality >= a.quality AND (b.cost < a.cost OR b.quality > a.quality)) AS pareto FROM t a""")
 def pareto_frontier(spark, sf) -> DataFrame:
-    t = Shared.of(spark, sf).table("events").groupBy("user_id").agg(F.avg("value").alias("cost"), F.count(F.lit(1)).alias("quality"))
+    micros = F.sum(F.round(F.col("value") * 1000000).cast("long"))
+    t = Shared.of(spark, sf).table("events").groupBy("user_id").agg((micros.cast("double") / F.count("value")).alias("cost"), F.count(F.lit(1)).alias("quality"))
     return mx.pareto(t, "cost", "quality").select("user_id", "quality", "pareto")
 
 
