@@ -230,7 +230,7 @@ def pvalue_from_ci(spark, sf) -> DataFrame:
     return reports.pvalue_from_ci(_cis(spark, sf))
 
 
-@query("delta_summary", compose(f"SELECT comparison, metric, count(*) AS n, {r6('avg(delta)', 'mean_delta')}, count(*) FILTER (delta > 0) AS n_positive FROM dl GROUP BY 1, 2", "em", extra=_DELTA_SQL))
+@query("delta_summary", compose(f"SELECT comparison, metric, count(*) AS n, {r6('avg(delta)', 'mean_delta')}, count(*) FILTER (round(delta, 9) > 0) AS n_positive FROM dl GROUP BY 1, 2", "em", extra=_DELTA_SQL))
 def delta_summary(spark, sf) -> DataFrame:
     return rounded6(reports.delta_summary(_deltas(spark, sf), ["comparison", "metric"]), "mean_delta")
 

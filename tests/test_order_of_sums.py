@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from originflow.operators import reports
 
 START = dt.datetime(2024, 1, 1)
 
@@ -42,3 +43,13 @@ def test_pareto_of_equal_means(spark, folder):
     assert got == {0: True, 1: True, 2: True, 3: True, 4: False}
     want = duck_of(path).sql(entry.oracle_sql()["pareto_frontier"]).df()
     assert got == dict(zip(want["user_id"].tolist(), want["pareto"].tolist()))
+
+
+def test_wins_of_summation_order(spark):
+    deltas = [2.2e-16, -2.2e-16, 0.0, 0.25, -0.5]
+    d = spark.createDataFrame([("a", "mass3", v) for v in deltas], "comparison string, metric string, delta double")
+    assert [(r["n"], r["n_positive"]) for r in reports.delta_summary(d, ["comparison", "metric"]).collect()] == [(5, 1)]
+    c = duckdb.connect()
+    c.register("dl", d.toPandas())
+    got = c.sql(entry.oracle_sql()["delta_summary"].rsplit("\n", 1)[1]).df()
+    assert (got["n"].tolist(), got["n_positive"].tolist()) == ([5], [1])
