@@ -23,6 +23,7 @@ from originflow.operators.ordered import exact_quantiles
 from originflow.session import Written
 
 CHUNK_ROWS = 50_000  # rows of a chunk of whole events, on average
+EQUAL_GAIN = 1e-9  # gains closer than this are equal: they differ by the order in which rows were added up
 REFRESH = 10  # trees after which the scores of the rows are written anew
 
 
@@ -168,7 +169,7 @@ def histograms(rows: DataFrame, tree: Tree, level: int, recent: list[Tree], rate
 
 
 def best_split(hist: np.ndarray, l2: float, min_rows: int) -> tuple[float, int]:
-    """``(gain, last bin that goes left)`` of one node and feature; the first of equal gains. Gain 0 where nothing may be split."""
+    """``(gain, last bin that goes left)`` of one node and feature; the first of gains within ``EQUAL_GAIN``. Gain 0 where nothing may be split."""
     g, h, n = hist.reshape(3, -1).cumsum(1)
     total = lambda a, b: a * a / (b + l2)
     gain = total(g, h) + total(g[-1] - g, h[-1] - h) - total(g[-1], h[-1])
@@ -176,7 +177,7 @@ def best_split(hist: np.ndarray, l2: float, min_rows: int) -> tuple[float, int]:
     if not ok[:-1].any():
         return 0.0, 0
     gain = np.where(ok, gain, -np.inf)[:-1]
-    return float(gain.max()), int(gain.argmax())
+    return float(gain.max()), int((gain > gain.max() - EQUAL_GAIN).argmax())
 
 
 def training_rows(df: DataFrame, model: TreeRanker, grade: str, group: list[str]) -> DataFrame:
@@ -200,8 +201,8 @@ def root_splits(df: DataFrame, features: list[str], grade: str, group: list[str]
     out = []
     for i, f in enumerate(features):
         gain, split = best_split(hist[0, i], l2, min_rows) if (0, i) in hist else (0.0, 0)
-        left = int(hist[0, i].reshape(3, -1)[2, :split + 1].sum()) if gain > 1e-12 else 0
-        out.append((f, gain if gain > 1e-12 else 0.0, left))
+        left = int(hist[0, i].reshape(3, -1)[2, :split + 1].sum()) if gain > EQUAL_GAIN else 0
+        out.append((f, gain if gain > EQUAL_GAIN else 0.0, left))
     return out
 
 
@@ -241,9 +242,10 @@ def fit_trees(df: DataFrame, features: list[str], grade: str, n_trees: int, grou
                     cells = {f: h for (k, f), h in hist.items() if k == node}
                     any_cell = cells[min(cells)].reshape(3, -1).sum(1)
                     tree.value[node] = -any_cell[0] / (any_cell[1] + l2)
-                    gain, f = max(((best_split(h, l2, min_rows)[0], -f) for f, h in cells.items()))
-                    if gain > 1e-12:
-                        f = -f
+                    gains = {f: best_split(h, l2, min_rows)[0] for f, h in cells.items()}
+                    gain = max(gains.values())
+                    if gain > EQUAL_GAIN:
+                        f = min(f for f, g in gains.items() if g > gain - EQUAL_GAIN)
                         split = best_split(cells[f], l2, min_rows)[1]
                         left, right = cells[f].reshape(3, -1)[:, :split + 1].sum(1), cells[f].reshape(3, -1)[:, split + 1:].sum(1)
                         tree.feature[node], tree.split[node], tree.gain[node] = f, split, gain

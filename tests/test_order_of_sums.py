@@ -4,11 +4,12 @@ import datetime as dt
 import shutil
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from originflow.operators import reports
+from originflow.operators import boosting, reports
 
 START = dt.datetime(2024, 1, 1)
 
@@ -53,3 +54,9 @@ def test_wins_of_summation_order(spark):
     c.register("dl", d.toPandas())
     got = c.sql(entry.oracle_sql()["delta_summary"].rsplit("\n", 1)[1]).df()
     assert (got["n"].tolist(), got["n_positive"].tolist()) == ([5], [1])
+
+
+def test_first_of_equal_splits():
+    g, h = [1.0, 1e-13, -1.0 - 1e-13], [1.0, 1.0, 1.0]  # both cuts gain 1/2 + 1/3 but for the last digits
+    gain, last = boosting.best_split(np.array([*g, *h, 30.0, 30.0, 30.0]), 1.0, 20)
+    assert abs(gain - 5 / 6) < 1e-9 and last == 0
