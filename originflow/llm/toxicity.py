@@ -11,7 +11,6 @@ compared; what exceeds the document's own median by a margin is summed and divid
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from originflow.llm.common import Staged, crc_of
-from originflow.llm.labelled import fit_logistic, held_out, sample, with_labels
+from originflow.llm.labelled import fit_logistic_table, held_out, learning_rows, with_labels
 
 WORD = re.compile(r"[^\W\d_]+")
 END = "\x03"
 DEPTH, DISCOUNT, MARGIN, PRIOR_WORDS = 10, 2.5, 2.0, 5
-CROSS, PER_CLASS = 4, 8000
+CROSS = 4
+BROADCAST_IDS = 2_000_000  # labelled ids that are broadcast to meet their documents, some 32 MB
+BATCH_WORDS = 1 << 14  # distinct words whose prefixes a task holds at once
 SLICE_CHARS = 1 << 20  # text whose distinct words are looked up at once
 HEAD = 2  # letters that the prefixes of one task share
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -36,19 +37,34 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _counts_of(depth):
-    """Counts of prefixes by class and cross-fitting part, summed over a batch."""
+    """Counts of prefixes by class and cross-fitting part, summed over slices of about ``BATCH_WORDS`` distinct words."""
+    def emitted(words):
+        cells: dict[str, list[int]] = {}
+        for w, n in words.items():
+            w += END
+            for i in range(min(len(w), depth) + 1):
+                if (c := cells.get(w[:i])) is None:
+                    cells[w[:i]] = list(n)
+                else:
+                    for k, v in enumerate(n):
+                        c[k] += v
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(cells), pa.string()), *(pa.array([c[i] for c in cells.values()], pa.int64()) for i in range(2 * CROSS))],
+            ["prefix", *(f"n{i}" for i in range(2 * CROSS))])
+
     def run(batches):
+        words: dict[str, list[int]] = {}
         for b in batches:
-            cells: dict[str, list[int]] = {}
             for doc_id, text, label in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 slot = label * CROSS + crc_of(doc_id) // 64 % CROSS
                 for w in set(words_of(text.as_py())):
-                    w += END
-                    for i in range(min(len(w), depth) + 1):
-                        cells.setdefault(w[:i], [0] * (2 * CROSS))[slot] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(cells), pa.string()), *(pa.array([c[i] for c in cells.values()], pa.int64()) for i in range(2 * CROSS))],
-                ["prefix", *(f"n{i}" for i in range(2 * CROSS))])
+                    if (n := words.get(w)) is None:
+                        n = words[w] = [0] * (2 * CROSS)
+                    n[slot] += 1
+                if len(words) >= BATCH_WORDS:
+                    yield emitted(words)
+                    words = {}
+        yield emitted(words)
     return run
 
 
@@ -241,22 +257,23 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        folds: int = FOLDS, fold: int = HELD_OUT, per_class: int = PER_CLASS) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled documents of each class (whole texts), none from the held-out fold.
+        folds: int = FOLDS, fold: int = HELD_OUT) -> ToxicityModel:
+    """Fit on all labelled documents (whole texts), none from the held-out fold.
 
     The calibration uses evidence from models that have not seen the document (``CROSS`` parts). Without both classes the
     model gives the smoothed share of the one there is.
     """
-    train = Staged(with_labels(docs, sample(labels, label_col, folds, fold, per_class), id_col, text_col), "toxicity-train")
-    spread = train.df.select("_lid", "_text", "_label").repartition(64)
+    rows = learning_rows(labels, label_col, folds, fold)
+    train = Staged(with_labels(docs, rows, id_col, text_col, rows.count() <= BROADCAST_IDS).select("_lid", "_text", "_label"), "toxicity-train")
     names = [f"n{i}" for i in range(2 * CROSS)]
-    counted = Staged(spread.mapInArrow(_counts_of(DEPTH), "prefix string, " + ", ".join(f"{c} long" for c in names))
+    counted = Staged(train.df.mapInArrow(_counts_of(DEPTH), "prefix string, " + ", ".join(f"{c} long" for c in names))
                      .groupBy("prefix").agg(*[F.sum(c).alias(c) for c in names]), "toxicity-counts")
-    n = dict(train.df.groupBy("_label").count().collect())
-    if len(n) < 2 or counted.df.isEmpty():
+    classes = train.df.select("_label").distinct().count()
+    if classes < 2 or counted.df.isEmpty():
+        calibration = fit_logistic_table(train.df.select(F.lit(0.0).alias("x"), F.col("_label").alias("y")))
         train.drop()
         counted.drop()
-        return ToxicityModel(None, *fit_logistic(np.zeros(sum(n.values())), np.repeat(list(map(float, n)), list(n.values()))))
+        return ToxicityModel(None, *calibration)
     model = learn(counted.df)
     counted.drop()
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -270,10 +287,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 rows = np.flatnonzero(part == k)
                 x[rows] = evidences([texts[i] for i in rows], tables[k])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(2)], ["x", "y"])
-    seen = spread.mapInArrow(cross, "x double, y int").toPandas().sort_values(["x", "y"])
+    seen = Staged(train.df.mapInArrow(cross, "x double, y int"), "toxicity-seen")
     train.drop()
     held.destroy()
-    return ToxicityModel(model.only(CROSS), *fit_logistic(seen["x"].to_numpy(), seen["y"].to_numpy(float)))
+    calibration = fit_logistic_table(seen.df)
+    seen.drop()
+    return ToxicityModel(model.only(CROSS), *calibration)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -282,7 +301,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     Defined cases: null and empty texts and texts without letters have no evidence and get the score of none; very long texts
     are read whole; rows that repeat an id are scored each; a null id counts as held out; other columns are kept, input columns
-    named like the three are replaced; an empty table stays empty. The broadcast model is bounded by the sample it was fitted on.
+    named like the three are replaced; an empty table stays empty. The broadcast model holds the prefixes that tell the classes apart, 64-bit hashes and two numbers each.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
