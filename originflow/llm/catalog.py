@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from originflow.llm import (exact_dedup, html_text, line_dedup, masked_lm, mih, packing, quality, rp_forest, simhash, spelling, token_align,
-                            toxicity, unigram)
+from originflow.llm import (exact_dedup, html_text, line_dedup, mih, packing, quality, rp_forest, simhash, spelling, token_align,
+                            toxicity, unigram, window_lm)
 from originflow.llm.common import read_table
 from pyspark.sql import functions as F
 
@@ -75,7 +75,7 @@ def op9_sentencepiece(spark, sf_dir):
 @query("op10_masked_lm")
 def op10_masked_lm(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.fit(docs)).select("doc_id", "n_words", "pseudo_loglik", "mean_loglik")
+    return window_lm.score(docs, window_lm.fit(docs)).select("doc_id", "n_words", "pseudo_loglik", "mean_loglik")
 
 
 @query("op11_exact_dedup", exact_dedup.ORACLE_SQL)

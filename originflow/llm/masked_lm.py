@@ -36,11 +36,11 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), counts
 
 
-def slices(texts: pa.Array):
+def slices(texts: pa.Array, size: int = SLICE_BYTES):
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES)))
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size)))
         yield texts.slice(at, end - at)
         at = end
 
