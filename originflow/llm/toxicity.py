@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -39,18 +40,17 @@ def words_of(text: str | None) -> list[str]:
 def _counts_of(depth):
     """Counts of prefixes by class and cross-fitting part, summed over slices of about ``BATCH_WORDS`` distinct words."""
     def emitted(words):
-        cells: dict[str, list[int]] = {}
-        for w, n in words.items():
-            w += END
-            for i in range(min(len(w), depth) + 1):
-                if (c := cells.get(w[:i])) is None:
-                    cells[w[:i]] = list(n)
-                else:
-                    for k, v in enumerate(n):
-                        c[k] += v
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(cells), pa.string()), *(pa.array([c[i] for c in cells.values()], pa.int64()) for i in range(2 * CROSS))],
-            ["prefix", *(f"n{i}" for i in range(2 * CROSS))])
+        ended, n = pa.array([w + END for w in words], pa.string()), np.array(list(words.values()), np.int64).reshape(-1, 2 * CROSS)
+        lengths = pc.utf8_length(ended).to_numpy(zero_copy_only=False)
+        prefixes, sums = [pa.array([], pa.string())], [np.zeros((0, 2 * CROSS), np.int64)]
+        for length in range(min(depth, lengths.max(initial=-1)) + 1):
+            rows = np.flatnonzero(lengths >= length)
+            coded = pc.utf8_slice_codeunits(ended.take(pa.array(rows)), 0, length).dictionary_encode()
+            at = coded.indices.to_numpy()
+            prefixes.append(coded.dictionary)
+            sums.append(np.stack([np.bincount(at, c, len(coded.dictionary)) for c in n[rows].T], 1).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(prefixes), *map(pa.array, np.vstack(sums).T.copy())],
+                                          ["prefix", *(f"n{i}" for i in range(2 * CROSS))])
 
     def run(batches):
         words: dict[str, list[int]] = {}
