@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 WINDOW, END_ID, POOL = 2048, 1, 2048
 PUNCTUATION = ".,!$%&#*|?;:()-"
 BATCH_BYTES = 4 << 20
+KEPT_WORDS = 200_000  # some 30 MB a task
 
 
 class WordIds:
-    """Token ids of many texts, each distinct word of a batch tokenized once.
+    """Token ids of many texts. Distinct words are tokenized once and kept for later batches, up to ``KEPT_WORDS`` of them.
 
     The tokenizer never merges across white space, so the ids of a text are those of its words in a row, and lower-cases
     everything, so A-Z may be lowered before words are compared. A word of letters followed by punctuation is two units to
@@ -38,6 +39,25 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for k, i in vocab.items() if k.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.units, self.flat, self.starts = None, np.zeros((0, 2), np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _units(self, words: pa.Array) -> np.ndarray:
+        """The numbers of the two units of each distinct word; words not met before are tokenized."""
+        if self.known is not None and len(self.known) + len(words) > KEPT_WORDS:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known) if self.known is not None else None
+        new = words if at is None else words.filter(pc.is_null(at))
+        if len(new):
+            units, flat, starts = self._table(new)
+            self.units = np.concatenate([self.units, units + (len(self.starts) - 1)])
+            self.starts = np.concatenate([self.starts, starts[1:] + len(self.flat)])
+            self.flat = np.concatenate([self.flat, flat])
+            self.known = new if at is None else pa.concat_arrays([self.known, new])
+            at = pc.index_in(words, value_set=self.known)
+        return self.units[at.to_numpy()]
 
     def _each(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -81,7 +101,8 @@ class WordIds:
         coded = words.flatten().dictionary_encode()
         if not len(coded):
             return [np.zeros(0, np.int32)] * len(texts)
-        units, flat, starts = self._table(coded.dictionary)
+        units = self._units(coded.dictionary)
+        flat, starts = self.flat, self.starts
         codes, bounds = coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
         out = []
         for a, b in zip(bounds[:-1], bounds[1:]):
