@@ -153,5 +153,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = placed.groupBy("root").agg(F.min_by("code", F.struct(F.isnull("first"), "first", "code")).alias("_chosen")).select("_chosen")
     code = arrow_udf(_fingerprints_of(shingle), "long")
     row = F.min_by(F.struct(*docs.columns), F.struct(F.isnull(id_col), id_col, F.xxhash64(*docs.columns)))
-    first = docs.withColumn("_code", code(F.col(text_col).cast("string"))).groupBy("_code").agg(row.alias("_row"))
+    # never null, which Spark is told: else the join's null check would have each task fingerprint every text a second time
+    own = F.coalesce(code(F.col(text_col).cast("string")), F.lit(0))
+    first = docs.withColumn("_code", own).groupBy("_code").agg(row.alias("_row"))
     return first.join(chosen, F.col("_code") == F.col("_chosen"), "left_semi").select("_row.*")
