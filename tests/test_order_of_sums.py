@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from originflow.catalog import modelling
 from originflow.operators import boosting, reports
 
 START = dt.datetime(2024, 1, 1)
@@ -60,3 +61,28 @@ def test_first_of_equal_splits():
     g, h = [1.0, 1e-13, -1.0 - 1e-13], [1.0, 1.0, 1.0]  # both cuts gain 1/2 + 1/3 but for the last digits
     gain, last = boosting.best_split(np.array([*g, *h, 30.0, 30.0, 30.0]), 1.0, 20)
     assert abs(gain - 5 / 6) < 1e-9 and last == 0
+
+
+def test_first_split_of_halves_at_the_ninth_decimal(spark, monkeypatch):
+    """Posts two microseconds apart: 15,443,358,255 are 4.2898217375 hours, which the check query rounds down."""
+    sides = [(15443358255, 0.0), (15443358257, 1.0)]
+    d = pd.DataFrame([(f"e{e}", 1, 2 * e + i, "train", us / 3.6e9, y) for e in range(22) for i, (us, y) in enumerate(sides)],
+                     columns=["event_id", "cutoff", "actor", "split", "elapsed_hours", modelling.Y])
+    d = d.assign(**{f: 0.0 for f in modelling._TREE_SET if f != "elapsed_hours"})
+    monkeypatch.setattr(modelling, "graph_panel", lambda shared: spark.createDataFrame(d))
+    got = {r["feature"]: (r["gain"], r["n_left"]) for r in entry.queries()["listwise_first_split"](spark, "made").collect()}
+    c = duckdb.connect()
+    c.register("panel", d.drop(columns="g_net_rate"))
+    c.register("deg", d[["cutoff", "actor", "g_net_rate"]])
+    sql = entry.oracle_sql()["listwise_first_split"]
+    want = {f: (gain, n) for f, gain, n in c.sql("WITH " + sql[sql.index("ge AS (SELECT"):]).fetchall()}
+    assert want["elapsed_hours"][1] == 22 and got == want
+
+
+def test_nine_decimals_as_in_the_check_query(spark):
+    us = list(range(15443358246, 15443358273)) + [58809528837, 30847064625, 60039725499]
+    values = [s * u / 3.6e9 for u in us for s in (1, -1)] + [0.0, 1e-16, 5e-10, 2.5e-9, 1 / 1024, 752.1234567895, float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(modelling._nine_decimals("x")).collect()]
+    c = duckdb.connect()
+    want = [c.execute("SELECT round(CAST(? AS DOUBLE), 9)", [v]).fetchone()[0] for v in values]
+    assert [str(v + 0.0) if v is not None else None for v in got] == [str(v + 0.0) if v is not None else None for v in want]
